@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from recordmill.llm.fingerprints import fingerprints
 from recordmill.llm.packing import pack
 from recordmill.llm.quality import classify
+from recordmill.llm.simhash import near_duplicates
 from recordmill.llm.token_counts import token_counts
 
 
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_documents(spark, sf_dir))
 
@@ -34,6 +39,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_simhash": op3_simhash,
     "op4_fingerprints": op4_fingerprints,
     "op6_packing": op6_packing,
     "op8_quality": op8_quality,
