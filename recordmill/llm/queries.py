@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordmill.llm.fingerprints import fingerprints
+from recordmill.llm.lines import duplicate_lines
 from recordmill.llm.packing import pack
 from recordmill.llm.quality import classify
 from recordmill.llm.simhash import near_duplicates
@@ -33,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(_documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_fingerprints": op4_fingerprints,
     "op6_packing": op6_packing,
+    "op7_lines": op7_lines,
     "op8_quality": op8_quality,
 }
 
