@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from recordmill.llm import textkit as tk
 
 PHRASE, SHORTEST = 8, 4
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 SAMPLE = 16
 PASS_WORDS = 5_000_000
 
