@@ -35,7 +35,7 @@ BINS = BANDS * ROWS
 NONE = np.uint32(0xFFFFFFFF)
 ENTRY = np.dtype([("key", "<u8"), ("line", "<u8")])
 FILTER_KEYS = 16_000_000
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 19
 
 
 class Lines:
@@ -190,21 +190,25 @@ def line_texts(docs: DataFrame, wanted: Filter | None) -> DataFrame:
     return docs.select("text").mapInArrow(run, "line bigint, body binary")
 
 
-def similar(a: np.ndarray, b: np.ndarray, owner: np.ndarray, h: np.ndarray, first: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether the exact Jaccard similarity of lines a[i] and b[i] reaches the threshold."""
+def similar(a: np.ndarray, b: np.ndarray, first: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the exact Jaccard similarity of lines a[i] and b[i] reaches the threshold; line x has the ascending shingles key[first[x]:first[x + 1]]."""
     size = np.diff(first)
     swap = size[a] > size[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
-    good = size[a] >= THRESHOLD * size[b]
     out = np.zeros(len(a), bool)
-    todo = np.flatnonzero(good)
-    step = 20_000
-    for lo in range(0, len(todo), step):
-        t = todo[lo : lo + step]
-        want = tk.mix(h[tk.ranges(first[a[t]], size[a[t]])] + np.repeat(b[t], size[a[t]]).astype(np.uint64) * tk.MULT)
+    todo = np.flatnonzero(size[a] >= THRESHOLD * size[b])
+    total = np.append(0, np.cumsum(size[a[todo]]))
+    lo = 0
+    while lo < len(todo):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 18), side="right")) - 1)
+        x, y = a[todo[lo:hi]], b[todo[lo:hi]]
+        n = size[x]
+        # In step with the order of y's shingles, so that the search stays in the cache.
+        want = key[tk.ranges(first[x], n)] + np.repeat((y - x) << 32, n)
         at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-        common = np.add.reduceat((key[at] == want).astype(np.int64), np.append(0, np.cumsum(size[a[t]])[:-1]))
-        out[t] = common >= THRESHOLD * (size[a[t]] + size[b[t]] - common) - 1e-9
+        common = np.add.reduceat((key[at] == want).astype(np.int64), np.append(0, np.cumsum(n)[:-1]))
+        out[todo[lo:hi]] = common >= THRESHOLD * (n + size[y] - common) - 1e-9
+        lo = hi
     return out
 
 
@@ -216,11 +220,10 @@ def verify(line: np.ndarray, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = off - off[0]
     owner, h = shingles(tk.byte_table()[buf], off[:-1], off[1:])
     bands = band_keys(owner, h, n)
-    key = tk.mix(h + owner.astype(np.uint64) * tk.MULT)
-    key, pick = np.unique(key, return_index=True)
-    pick.sort()
-    owner, h = owner[pick], h[pick]
-    first = np.searchsorted(owner, np.arange(n + 1))
+    _, kind = np.unique(h, return_inverse=True)
+    key = tk.distinct((owner << 32) | kind)
+    del owner, h, kind
+    first = np.searchsorted(key, np.arange(n + 1) << 32)
     k = bands.T.ravel()
     member = np.tile(np.arange(n), BANDS)
     order = np.argsort(k, kind="stable")
@@ -239,9 +242,9 @@ def verify(line: np.ndarray, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         b = member[tk.ranges(begin + pivot + 1, rest)]
         apart = up[a] != up[b]
         if apart.any():
-            pair = np.unique(np.minimum(a, b)[apart] * n + np.maximum(a, b)[apart])
+            pair = tk.distinct(np.minimum(a, b)[apart] * n + np.maximum(a, b)[apart])
             x, y = pair // n, pair % n
-            ok = similar(x, y, owner, h, first, key)
+            ok = similar(x, y, first, key)
             if ok.any():
                 ones.append(x[ok])
                 twos.append(y[ok])
@@ -293,7 +296,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     owner = candidates.select(F.col("node").alias("line"), "root").unionByName(candidates.select(F.col("root").alias("line"), "root").distinct())
     owner = tk.checkpoint(owner)
     texts = line_texts(docs, small_filter(owner)).groupBy("line").agg(F.first("body").alias("body"))
-    gathered = texts.join(owner, "line").select("root", "line", "body").repartition("root").sortWithinPartitions("root", "line")
+    gathered = texts.join(owner, "line").select("root", "line", "body").repartition(targets, "root").sortWithinPartitions("root", "line")
     return gathered.mapInArrow(_verified, "line bigint, root bigint")
 
 

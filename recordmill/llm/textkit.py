@@ -185,6 +185,12 @@ class Words:
         return at, span_hash(self.hash, at, at + k, 0xD1342543DE82EF95)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting (numpy's own way of hashing is slower here)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Concatenated first[i] .. first[i] + counts[i] - 1."""
     total = int(counts.sum())
