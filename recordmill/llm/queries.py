@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordmill.llm import decontaminate
+from recordmill.llm import decontaminate, licenses
 from recordmill.llm.fingerprints import fingerprints
 from recordmill.llm.lines import duplicate_lines
 from recordmill.llm.packing import pack
@@ -36,6 +36,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_documents(spark, sf_dir))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
@@ -57,10 +61,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
     "op4_fingerprints": op4_fingerprints,
+    "op5_licenses": op5_licenses,
     "op6_packing": op6_packing,
     "op7_lines": op7_lines,
     "op8_quality": op8_quality,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE,
+    "op5_licenses": licenses.ORACLE,
+}
