@@ -10,6 +10,7 @@ from recordmill.llm import decontaminate, licenses
 from recordmill.llm.fingerprints import fingerprints
 from recordmill.llm.lines import duplicate_lines
 from recordmill.llm.packing import pack
+from recordmill.llm.passages import repeated_passages
 from recordmill.llm.quality import classify
 from recordmill.llm.simhash import near_duplicates
 from recordmill.llm.token_counts import token_counts
@@ -52,6 +53,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_lines": op7_lines,
     "op8_quality": op8_quality,
+    "op9_passages": op9_passages,
     "op10_toxicity": op10_toxicity,
 }
 
