@@ -337,36 +337,46 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon
     # At most `rows` pairs of numbers, so of a fixed size.
     chosen = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_toxic")
 
+    def words_of(part: pa.RecordBatch) -> tuple[Folded, np.ndarray, np.ndarray, np.ndarray]:
+        """(folded batch, document, hash, index) of each distinct word of each document."""
+        f = Folded(tk.column(part, "text"))
+        long = np.flatnonzero(f.end - f.start >= 3)
+        h = tk.span_hash(symbol_values()[f.kind], f.start[long], f.end[long]) if len(long) else np.zeros(0, np.uint64)
+        doc = f.doc(f.start[long])
+        _, pick = np.unique(tk.mix(h + doc.astype(np.uint64) * tk.MULT), return_index=True)
+        return f, doc[pick], h[pick], long[pick]
+
+    def spelled(f: Folded, index: np.ndarray) -> pa.Array:
+        letters = (f.kind + 96).astype(np.uint8)
+        letters[f.kind == 27] = ord("?")
+        size = f.end[index] - f.start[index]
+        off = np.append(0, np.cumsum(size)).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(index), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(letters[tk.ranges(f.start[index], size)].tobytes())])
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.chunks(batch):
-                f = Folded(tk.column(part, "text"))
-                h = tk.span_hash(symbol_values()[f.kind], f.start, f.end) if len(f.start) else np.zeros(0, np.uint64)
-                doc = f.doc(f.start)
-                _, pick = np.unique(tk.mix(h + doc.astype(np.uint64) * tk.MULT), return_index=True)
-                letters = (f.kind + 96).astype(np.uint8)
-                letters[f.kind == 27] = ord("?")
-                size = f.end[pick] - f.start[pick]
-                off = np.append(0, np.cumsum(size)).astype(np.int32)
-                word = pa.Array.from_buffers(pa.string(), len(pick), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(letters[tk.ranges(f.start[pick], size)].tobytes())])
-                take = pa.array(doc[pick])
-                yield pa.RecordBatch.from_arrays([tk.column(part, "doc_id").cast(pa.int64()).take(take), tk.column(part, "_toxic").cast(pa.int32()).take(take), word], ["doc_id", "toxic", "word"])
-
-    words = chosen.mapInArrow(measure, "doc_id bigint, toxic int, word string").dropDuplicates(["doc_id", "word"])
-    words = tk.checkpoint(words.filter("length(word) >= 3"))
-    totals = {r["_toxic"]: r["n"] for r in chosen.select("doc_id", "_toxic").distinct().groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+            for part in tk.chunks(batch, size=8 * tk.CHUNK_BYTES):
+                f, doc, h, index = words_of(part)
+                toxic = tk.column(part, "_toxic").to_numpy().astype(np.int64)
+                _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+                n = np.bincount(inverse, minlength=len(first)).astype(np.int64)
+                bad = np.bincount(inverse, toxic[doc], len(first)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([spelled(f, index[first]), pa.array(bad), pa.array(n - bad)], ["word", "bad", "clean"])
+
+    totals = {r["_toxic"]: r["n"] for r in chosen.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad:
         return Lexicon({}, {})
-    one, other = F.sum("toxic"), F.sum(1 - F.col("toxic"))
+    stats = chosen.mapInArrow(measure, "word string, bad bigint, clean bigint").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
+    stats = tk.checkpoint(stats)
     few = F.col("clean") <= CLEAN * F.col("bad")
-    starts = words.select("doc_id", "toxic", "word", F.explode(F.array(*map(F.lit, PREFIXES))).alias("n")).filter("length(word) > n").withColumn("prefix", F.expr("left(word, n)"))
-    families = (
-        starts.groupBy("prefix", "doc_id", "toxic").agg(F.collect_set("word").alias("w")).groupBy("prefix")
-        .agg(one.alias("bad"), other.alias("clean"), F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("toxic") == 1, F.col("w")))))).alias("kinds"))
-        .filter(few & (F.col("bad") >= FAMILY_DOCS) & (F.col("kinds") >= FAMILY_WORDS) & (F.col("bad") >= 0.002 * bad))
-    )
-    # Beginnings and words that at least LEAST of the sampled toxic documents share, hardly any clean one: a bounded sample's.
+    starts = F.explode(F.array(*map(F.lit, PREFIXES))).alias("n")
+    begun = stats.select("*", starts).filter("length(word) > n").withColumn("prefix", F.expr("left(word, n)"))
+    # Beginnings that words of toxic documents only share, then what other words have them.
+    only = begun.filter("clean = 0").groupBy("prefix").agg(F.sum("bad").alias("_bad"), F.count("*").alias("kinds"))
+    only = only.filter((F.col("_bad") >= max(FAMILY_DOCS, 0.002 * bad)) & (F.col("kinds") >= FAMILY_WORDS)).select("prefix")
+    families = begun.join(F.broadcast(tk.checkpoint(only)), "prefix").groupBy("prefix").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean")).filter(few)
+    # What is collected comes from a sample of bounded size.
     found = {r.prefix: (r.bad, r.clean) for r in families.collect()}
     prefix: dict[str, tuple[int, int]] = {}
     for p in sorted(found, key=lambda x: (len(x), x)):
@@ -374,23 +384,45 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon
             continue
         prefix = {q: v for q, v in prefix.items() if not p.startswith(q)}
         prefix[p] = found[p]
-    stats = words.groupBy("word").agg(one.alias("bad"), other.alias("clean")).filter(few & (F.col("bad") >= LEAST)).collect()
-    count = {r.word: (r.bad, r.clean) for r in stats if not any(r.word.startswith(p) for p in prefix)}
+    count = {r.word: (r.bad, r.clean) for r in stats.filter(few & (F.col("bad") >= LEAST)).collect() if not any(r.word.startswith(p) for p in prefix)}
     chosen_words = {w for w, (n, _) in count.items() if n >= SHARE * bad}
     # Beyond words that many toxic documents share, those that explain toxic documents which nothing else explains.
-    held = words.filter("toxic = 1").join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in count] or [("",)], "word string")), "word").select("doc_id", "word").collect()
+    tests = Lexicon({key_of(symbols(w.replace("?", "日"))): 1.0 for w in count}, {})
+    for p in prefix:
+        tests.prefixes.setdefault(len(p), {})[key_of(symbols(p.replace("?", "日")))] = 1.0
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.array(sorted(tests.words), np.uint64)
+        starts = {n: np.array(sorted(t), np.uint64) for n, t in tests.prefixes.items()}
+        for batch in batches:
+            for part in tk.chunks(batch):
+                f, doc, h, index = words_of(part)
+                hit = np.isin(h, whole)
+                size = f.end[index] - f.start[index]
+                family = np.zeros(len(h), bool)
+                for n, keys in starts.items():
+                    long = np.flatnonzero(size >= n)
+                    if len(long):
+                        at = f.start[index[long]]
+                        family[long] |= np.isin(tk.span_hash(symbol_values()[f.kind], at, at + n), keys)
+                some = np.flatnonzero(hit | family)
+                ids = tk.column(part, "doc_id").cast(pa.int64()).take(pa.array(doc[some]))
+                yield pa.RecordBatch.from_arrays([ids, spelled(f, index[some]), pa.array(family[some])], ["doc_id", "word", "family"])
+
     by: dict[int, set[str]] = {}
-    for r in held:
+    explained: set[int] = set()
+    for r in chosen.filter("_toxic = 1").select("doc_id", "text").mapInArrow(meet, "doc_id bigint, word string, family boolean").collect():
         by.setdefault(r.doc_id, set()).add(r.word)
-    with_family = {r.doc_id for r in words.filter("toxic = 1").filter(F.substring("word", 1, 4).isin([p[:4] for p in prefix])).select("doc_id", "word").collect() if any(r.word.startswith(p) for p in prefix)}
-    left = {d: w for d, w in by.items() if d not in with_family and not w & chosen_words}
+        if r.family:
+            explained.add(r.doc_id)
+    left = {d: w & count.keys() for d, w in by.items() if d not in explained and not w & chosen_words}
     while left:
         support: dict[str, int] = {}
         for w in left.values():
             for x in w:
                 support[x] = support.get(x, 0) + 1
-        top = max(support, key=lambda x: (support[x], x))
-        if support[top] < max(LEAST, 0.005 * bad):
+        top = max(support, key=lambda x: (support[x], x), default="")
+        if not top or support[top] < max(LEAST, 0.005 * bad):
             break
         chosen_words.add(top)
         left = {d: w for d, w in left.items() if top not in w}
