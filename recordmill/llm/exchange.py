@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from recordmill.llm import textkit as tk
 
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 16 << 20
 BLOCKS = "part int, block binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.binary())])
 

@@ -35,7 +35,7 @@ BINS = BANDS * ROWS
 NONE = np.uint32(0xFFFFFFFF)
 ENTRY = np.dtype([("key", "<u8"), ("line", "<u8")])
 FILTER_KEYS = 16_000_000
-GROUP_BYTES = 1 << 19
+GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 1 << 19, 1 << 18, 1 << 20
 
 
 class Lines:
@@ -101,7 +101,7 @@ def band_keys(line: np.ndarray, h: np.ndarray, lines: int) -> np.ndarray:
 
 def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for part in tk.chunks(batch):
+    for part in tk.chunks(batch, size=CHUNK_BYTES):
         ln = Lines(tk.column(part, "text"))
         _, pick = np.unique(ln.hash, return_index=True)
         pick = pick[ln.end[pick] - ln.start[pick] >= K]
@@ -174,7 +174,7 @@ def line_texts(docs: DataFrame, wanted: Filter | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.chunks(batch):
+            for part in tk.chunks(batch, size=CHUNK_BYTES):
                 ln = Lines(tk.column(part, "text"))
                 _, pick = np.unique(ln.hash, return_index=True)
                 pick = pick[ln.end[pick] - ln.start[pick] >= K]
@@ -218,11 +218,25 @@ def verify(line: np.ndarray, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + n + 1].astype(np.int64)
     buf = np.frombuffer(bodies.buffers()[2], np.uint8)[off[0] : off[-1]]
     off = off - off[0]
-    owner, h = shingles(tk.byte_table()[buf], off[:-1], off[1:])
-    bands = band_keys(owner, h, n)
-    _, kind = np.unique(h, return_inverse=True)
-    key = tk.distinct((owner << 32) | kind)
-    del owner, h, kind
+    blocks = np.unique(np.append(np.searchsorted(off, np.arange(0, off[-1], BLOCK_BYTES)), n))
+    blocks = list(zip(np.append(0, blocks[:-1]).tolist(), blocks.tolist(), strict=True))
+
+    def of(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        return shingles(tk.byte_table()[buf[off[i] : off[j]]], off[i:j] - off[i], off[i + 1 : j + 1] - off[i])
+
+    # By blocks, so that memory holds little beyond the sets themselves.
+    bands = np.empty((n, BANDS), np.uint64)
+    kinds = np.zeros(0, np.uint64)
+    for i, j in blocks:
+        owner, h = of(i, j)
+        bands[i:j] = band_keys(owner, h, j - i)
+        kinds = tk.distinct(np.concatenate([kinds, tk.distinct(h)]))
+    sets = []
+    for i, j in blocks:
+        owner, h = of(i, j)
+        sets.append(tk.distinct(((owner + i) << 32) | np.searchsorted(kinds, h)))
+    key = np.concatenate(sets)
+    del sets, kinds
     first = np.searchsorted(key, np.arange(n + 1) << 32)
     k = bands.T.ravel()
     member = np.tile(np.arange(n), BANDS)
@@ -306,7 +320,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.chunks(batch):
+            for part in tk.chunks(batch, size=CHUNK_BYTES):
                 ln = Lines(tk.column(part, "text"))
                 ids = tk.column(part, "doc_id").cast(pa.int64()).take(pa.array(ln.doc))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(ln.number), pa.array(ln.hash.view(np.int64))], ["doc_id", "line_no", "line"])
@@ -336,7 +350,7 @@ def cut_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.chunks(batch):
+            for part in tk.chunks(batch, size=CHUNK_BYTES):
                 text = tk.column(part, "text")
                 ln = Lines(text)
                 raw, _ = tk.utf8(text)
