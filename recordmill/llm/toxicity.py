@@ -355,7 +355,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.chunks(batch, size=8 * tk.CHUNK_BYTES):
+            for part in tk.chunks(batch, size=2 * tk.CHUNK_BYTES):
                 f, doc, h, index = words_of(part)
                 toxic = tk.column(part, "_toxic").to_numpy().astype(np.int64)
                 _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
