@@ -178,38 +178,43 @@ def decode_field(cell: Column, kind: str) -> Column:
     return F.when(cell == "N", None).when(cell == "$0=", "").when(quoted, unescape(F.substring(cell, F.lit(2), F.length(cell) - 2))).otherwise(cell)
 
 
-def _by_type(of, meta: tuple[str, ...]) -> Column:
-    """A constant map from record type to the array of ``of(type, field, kind)`` over its cells."""
-    pairs = []
-    for t, fields in schema.FIELDS.items():
-        every = [*(schema.COMMON | fields).items(), *((m, schema.META[m]) for m in meta)]
-        pairs += [F.lit(t), F.array(*(F.lit(of(t, k, v)) for k, v in every))]
-    return F.create_map(*pairs)
-
-
-def well_formed(cells: Column, meta: tuple[str, ...] = ()) -> Column:
-    """Whether a row's cells have a known type, its arity, all required fields and readable numbers and booleans."""
-    letter = {"string": "s", "bigint": "d", "double": "f", "boolean": "b"}
-    codes = F.try_element_at(_by_type(lambda t, k, v: letter[v] + ("?" if k in meta or (t, k) in schema.OPTIONAL else ""), meta), F.element_at(cells, 1))
-
-    def fine(cell: Column, code: Column) -> Column:
-        return (
-            F.when(cell == "N", code.endswith("?")).when(code.startswith("d"), decode_field(cell, "bigint").isNotNull())
-            .when(code.startswith("f"), decode_field(cell, "double").isNotNull()).when(code.startswith("b"), cell.isin("T", "F")).otherwise(True)
-        )
+_PATTERNS = {"string": r'(?:"(?:[^"]|"")*"|[^|]*)', "bigint": r"[+-]?[0-9]{1,19}", "double": r"(?:nan|-?inf|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", "boolean": "[TF]"}
 
-    return F.coalesce((F.size(cells) == F.size(codes)) & F.forall(F.zip_with(cells, codes, fine), lambda x: x), F.lit(False))
 
+def row_pattern(meta: tuple[str, ...] = ()) -> str:
+    """A pattern that rows of a known type, its arity, all required fields and readable numbers and booleans match."""
 
-def named_cells(cells: Column, meta: tuple[str, ...] = ()) -> Column:
-    """Map from field name to cell of a well-formed row."""
-    names = F.element_at(_by_type(lambda t, k, v: k, meta), F.element_at(cells, 1))
-    return F.map_from_arrays(names, cells)
+    def cell(kind: str, optional: bool) -> str:
+        return f"(?:N|{_PATTERNS[kind]})" if optional else r"(?!N(?:\||$))" + _PATTERNS[kind]
 
-
-def decode_row(named: Column) -> list[Column]:
-    """Columns of the wide schema (without payload_id and pos) from named_cells()."""
-    return [decode_field(F.try_element_at(named, F.lit(k)), t).cast(t).alias(k) for k, t in schema.WIDE.items() if k not in ("payload_id", "pos")]
+    out = []
+    for t, fields in schema.FIELDS.items():
+        cells = [cell(v, (t, k) in schema.OPTIONAL) for k, v in (schema.COMMON | fields).items() if k != "type"]
+        out.append(r"\|".join([t, *cells, *(cell(schema.META[m], True) for m in meta)]))
+    return r"(?s)\A(?:" + "|".join(out) + r")\z"
+
+
+def well_formed(line: Column | str, meta: tuple[str, ...] = ()) -> Column:
+    return _col(line).rlike(row_pattern(meta))
+
+
+def decode_row(cells: str, meta: tuple[str, ...] = ()) -> list[Column]:
+    """Columns of the wide schema (without payload_id and pos) from the cells of a well-formed row."""
+    kind = F.element_at(cells, 1)
+    out = []
+    for k, v in schema.WIDE.items():
+        if k in ("payload_id", "pos"):
+            continue
+        if k in schema.COMMON:
+            at = F.lit(list(schema.COMMON).index(k) + 1)
+        elif k in schema.META:
+            at = F.size(cells) - (len(meta) - meta.index(k)) + 1 if k in meta else F.lit(None).cast("int")
+        else:
+            at = F.lit(None).cast("int")
+            for i in sorted({list(f).index(k) for f in schema.FIELDS.values() if k in f}):
+                at = F.when(kind.isin([t for t, f in schema.FIELDS.items() if k in f and list(f).index(k) == i]), len(schema.COMMON) + i + 1).otherwise(at)
+        out.append(decode_field(F.try_element_at(cells, at), v).cast(v).alias(k))
+    return out
 
 
 def truncated(text: Column, n: int = 500) -> Column:

@@ -102,10 +102,10 @@ def header_tokens(token_budget: int, thread_id: str = "", magic: str = schema.MA
 
 
 def chunks(df: DataFrame, token_budget: int, overlap: int = 0, meta: tuple[str, ...] = (), magic: str = schema.MAGIC) -> DataFrame:
-    """(payload_id, chunk_no, unit_no, unit, tokens): units in order, filled into chunks greedily; ``overlap`` units are repeated in the next chunk."""
+    """(payload_id, chunk_no, unit_no, unit, tokens, n_records): units in order, filled into chunks greedily; ``overlap`` units are repeated in the next chunk."""
     budget = max(10, token_budget - header_tokens(token_budget, "", magic))
-    cost = units(df, meta).groupBy("payload_id", "unit").agg(F.sum("tokens").cast("bigint").alias("tokens"))
-    lists = cost.groupBy("payload_id").agg(F.array_sort(F.collect_list(F.struct("unit", "tokens"))).alias("_u"))
+    cost = units(df, meta).groupBy("payload_id", "unit").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.count("*").alias("n"))
+    lists = cost.groupBy("payload_id").agg(F.array_sort(F.collect_list(F.struct("unit", "tokens", "n"))).alias("_u"))
     # The accumulator keeps where chunks begin, not their contents: [first unit, first new unit).
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("first"), F.lit(0).cast("bigint").alias("used"), F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("new"))).alias("cuts"))
 
@@ -118,11 +118,12 @@ def chunks(df: DataFrame, token_budget: int, overlap: int = 0, meta: tuple[str,
             F.when(full, F.concat(a["cuts"], F.array(F.struct(back.alias("first"), a["i"].alias("new"))))).otherwise(a["cuts"]).alias("cuts"),
         )
 
-    cut = lists.select("payload_id", "_u", F.aggregate("_u", start, step)["cuts"].alias("_c"))
+    # Generated once, as several columns read it.
+    cut = lists.select("payload_id", "_u", F.explode(F.array(F.aggregate("_u", start, step)["cuts"])).alias("_c"))
     each = cut.select("payload_id", "_u", "_c", F.posexplode("_c").alias("chunk_no", "_cut"))
     end = F.coalesce(F.try_element_at("_c", F.col("chunk_no") + 2)["new"], F.size("_u"))
     each = each.select("payload_id", (F.col("chunk_no") + 1).cast("bigint").alias("chunk_no"), F.posexplode(F.slice("_u", F.col("_cut.first") + 1, end - F.col("_cut.first"))).alias("unit_no", "_x"))
-    return each.select("payload_id", "chunk_no", (F.col("unit_no") + 1).cast("bigint").alias("unit_no"), "_x.unit", "_x.tokens")
+    return each.select("payload_id", "chunk_no", (F.col("unit_no") + 1).cast("bigint").alias("unit_no"), "_x.unit", "_x.tokens", F.col("_x.n").alias("n_records"))
 
 
 def chunk_records(df: DataFrame, token_budget: int, overlap: int = 0, meta: tuple[str, ...] = (), resort: bool = False) -> DataFrame:
@@ -138,8 +139,7 @@ def chunk_records(df: DataFrame, token_budget: int, overlap: int = 0, meta: tupl
 def chunk_summary(df: DataFrame, token_budget: int, overlap: int = 0) -> DataFrame:
     """(payload_id, chunk_no, n_records, tokens) of each chunk."""
     placed = chunks(df, token_budget, overlap)
-    sizes = units(df).groupBy("payload_id", "unit").agg(F.count("*").alias("n"))
-    return placed.join(sizes, ["payload_id", "unit"]).groupBy("payload_id", "chunk_no").agg(F.sum("n").cast("bigint").alias("n_records"), F.sum("tokens").cast("bigint").alias("tokens"))
+    return placed.groupBy("payload_id", "chunk_no").agg(F.sum("n_records").cast("bigint").alias("n_records"), F.sum("tokens").cast("bigint").alias("tokens"))
 
 
 def chain(numbered: DataFrame, parent: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill import schema
-from recordmill.functions.scalar import decode_row, encode_field, encode_row, estimate_tokens, named_cells, split_row, well_formed
+from recordmill.functions.scalar import decode_row, encode_field, encode_row, estimate_tokens, split_row, well_formed
 from recordmill.operators.validate import first_violations
 
 _HEADER = ("thread", "context_window", "context_used", "payload_id", "parent_payload_id", "agent_id", "session_id", "schema_version", "meta", "records")
@@ -51,9 +51,11 @@ def _lines(text: Column) -> Column:
 
 def parse_headers(payloads: DataFrame, magic: str = schema.MAGIC, key: str = "source") -> DataFrame:
     """Header of each payload as columns, the rows after it as ``rows``, and ``problem`` where it can't be read."""
-    df = payloads.select(key, _lines(F.col("payload")).alias("_l"))
+    # Generated columns are computed once, however many columns read them.
+    df = payloads.select(key, F.explode(F.array(_lines(F.col("payload")))).alias("_l"))
     at = F.array_position(F.transform("_l", lambda x: F.when(x.startswith("records: "), 1).otherwise(0)), 1)
-    df = df.withColumn("_at", at).withColumn("_head", F.when(F.col("_at") > 0, F.slice("_l", 1, F.col("_at"))).otherwise(F.array().cast("array<string>")))
+    head = F.transform(F.array(at), lambda n: F.struct(n.alias("at"), F.when(n > 0, F.slice("_l", 1, n)).otherwise(F.array().cast("array<string>")).alias("head")))
+    df = df.select(key, "_l", F.inline(head).alias("_at", "_head"))
 
     def value(name: str) -> Column:
         prefix = name + ": "
@@ -77,17 +79,20 @@ def parse_headers(payloads: DataFrame, magic: str = schema.MAGIC, key: str = "so
 def decode_payloads(payloads: DataFrame, meta: tuple[str, ...] = (), magic: str = schema.MAGIC, key: str = "source") -> DataFrame:
     """Wide records of payloads(source, payload), all or nothing: a payload with an unreadable header, a wrong count or a bad row gives none."""
     head = parse_headers(payloads, magic, key).filter("problem is null")
-    cells = head.withColumn("_cells", F.transform("rows", split_row)).filter(F.forall("_cells", lambda c: well_formed(c, meta)))
-    rows = cells.select(F.coalesce("payload_id", F.col(key)).alias("payload_id"), F.posexplode("_cells").alias("_i", "_c"))
-    named = rows.select("payload_id", (F.col("_i") + 1).cast("bigint").alias("pos"), named_cells(F.col("_c"), meta).alias("_n"))
-    return schema.widen(named.select("payload_id", "pos", *decode_row(F.col("_n"))))
+    good = head.filter(F.forall("rows", lambda x: well_formed(x, meta)))
+    lines = good.select(F.coalesce("payload_id", F.col(key)).alias("payload_id"), F.posexplode("rows").alias("_i", "line"))
+    return _decoded(lines.withColumn("pos", (F.col("_i") + 1).cast("bigint")), meta)
+
+
+def _decoded(lines: DataFrame, meta: tuple[str, ...]) -> DataFrame:
+    # A generated column is computed once, however many columns read it.
+    cells = lines.select("payload_id", "pos", F.explode(F.array(split_row("line"))).alias("_c"))
+    return schema.widen(cells.select("payload_id", "pos", *decode_row("_c", meta)))
 
 
 def decode_rows(lines: DataFrame, meta: tuple[str, ...] = ()) -> DataFrame:
     """Wide records of well-formed rows among lines(payload_id, pos, line)."""
-    cells = lines.select("payload_id", "pos", split_row("line").alias("_c")).filter(well_formed(F.col("_c"), meta))
-    named = cells.select("payload_id", "pos", named_cells(F.col("_c"), meta).alias("_n"))
-    return schema.widen(named.select("payload_id", "pos", *decode_row(F.col("_n"))))
+    return _decoded(lines.filter(well_formed("line", meta)), meta)
 
 
 def error_payload(message: Column, thread_id: str = "INVALID", magic: str = schema.MAGIC) -> Column:
@@ -99,12 +104,13 @@ def error_payload(message: Column, thread_id: str = "INVALID", magic: str = sche
 def repaired_lines(raw: DataFrame, magic: str = schema.MAGIC) -> DataFrame:
     """(source, header, rows, problem) of raw(source, raw): fences, text before the magic line, blank lines and unknown rows dropped."""
     lines = F.filter(F.transform(F.split("raw", r"\r?\n", -1), F.trim), lambda x: ~x.startswith("```"))
-    df = raw.select("source", lines.alias("_l"))
+    df = raw.select("source", F.explode(F.array(lines)).alias("_l"))
     at = F.array_position("_l", magic)
     after = F.filter(F.slice("_l", F.col("_at") + 1, F.greatest(F.size("_l") - F.col("_at"), F.lit(0))), lambda x: x != "")
     known = list(schema.FIELDS)
     is_row = lambda x: F.split(x, r"\|", 2)[0].isin(known) & ~x.startswith("thread: ") & ~x.startswith("context")
-    df = df.withColumn("_at", at).filter(F.lit(True)).withColumn("_a", F.when(F.col("_at") > 0, after).otherwise(F.array().cast("array<string>")))
+    df = df.select("source", "_l", F.explode(F.array(at)).alias("_at"))
+    df = df.select("source", "_at", F.explode(F.array(F.when(F.col("_at") > 0, after).otherwise(F.array().cast("array<string>")))).alias("_a"))
     end = F.array_position(F.transform("_a", lambda x: F.when(x.startswith("records: "), 1).otherwise(0)), 1)
     head = F.when(end > 0, F.slice("_a", 1, end)).otherwise(F.col("_a"))
     rows = F.filter("_a", is_row)
@@ -115,8 +121,8 @@ def repaired_lines(raw: DataFrame, magic: str = schema.MAGIC) -> DataFrame:
 def repair(raw: DataFrame, magic: str = schema.MAGIC, thread_id: str = "REPAIR") -> DataFrame:
     """(source, payload, repaired): a valid payload from each model output, keeping the rows that can be read; else an error payload."""
     df = repaired_lines(raw, magic)
-    good = F.filter("rows", lambda x: well_formed(split_row(x)))
-    df = df.withColumn("good", good)
+    good = F.filter("rows", lambda x: well_formed(x))
+    df = df.select("*", F.explode(F.array(good)).alias("good"))
     lines = df.select("source", F.posexplode("good").alias("_i", "line")).select(F.col("source").alias("payload_id"), (F.col("_i") + 1).cast("bigint").alias("pos"), "line")
     bad = first_violations(decode_rows(lines)).select(F.col("payload_id").alias("source"), F.col("violation.message").alias("_v"))
     df = df.join(bad, "source", "left")
