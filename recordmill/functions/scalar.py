@@ -96,7 +96,7 @@ def varint_bytes(n: Column | str) -> Column:
 
 
 def float_text(x: Column | str) -> Column:
-    """Shortest round-trip text of a double: plain notation within [1e-4, 1e16), exponents like 1e-05, nan, inf."""
+    """Round-trip text of a double (the JVM's shortest digits): plain notation within [1e-4, 1e16), exponents like 1e-05, nan, inf."""
     c = _col(x).cast("double")
     raw = c.cast("string")
     mantissa = F.regexp_replace(F.regexp_extract(raw, r"^(-?[0-9.]+)E", 1), r"\.0$", "")

@@ -46,7 +46,7 @@ def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"\n$", ""), "\n", -1)
+    return F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
 
 
 def parse_headers(payloads: DataFrame, magic: str = schema.MAGIC, key: str = "source") -> DataFrame:
@@ -64,7 +64,7 @@ def parse_headers(payloads: DataFrame, magic: str = schema.MAGIC, key: str = "so
 
     values = {k: value(k) for k in _HEADER}
     numbers = {k: values[k].try_cast("bigint") for k in _INTEGERS}
-    meta = F.filter(F.transform(F.split(F.coalesce(values["meta"], F.lit("")), ","), F.trim), lambda x: x != "")
+    meta = F.filter(F.transform(F.split(F.coalesce(values["meta"], F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     rows = F.slice("_l", F.col("_at") + 1, F.greatest(F.size("_l") - F.col("_at"), F.lit(0)))
     problem = F.when(F.element_at("_l", 1) != magic, "magic line missing").when(F.col("_at") == 0, "records line missing")
     for k in _INTEGERS:
@@ -103,7 +103,7 @@ def error_payload(message: Column, thread_id: str = "INVALID", magic: str = sche
 
 def repaired_lines(raw: DataFrame, magic: str = schema.MAGIC) -> DataFrame:
     """(source, header, rows, problem) of raw(source, raw): fences, text before the magic line, blank lines and unknown rows dropped."""
-    lines = F.filter(F.transform(F.split("raw", r"\r?\n", -1), F.trim), lambda x: ~x.startswith("```"))
+    lines = F.filter(F.transform(F.split("raw", r"\r?\n", -1), lambda x: F.trim(x)), lambda x: ~x.startswith("```"))
     df = raw.select("source", F.explode(F.array(lines)).alias("_l"))
     at = F.array_position("_l", magic)
     after = F.filter(F.slice("_l", F.col("_at") + 1, F.greatest(F.size("_l") - F.col("_at"), F.lit(0))), lambda x: x != "")
