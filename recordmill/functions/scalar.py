@@ -144,7 +144,7 @@ def encode_row(meta: tuple[str, ...] = ()) -> Column:
 
 
 #: Cells of a row: quoted ones may hold separators and doubled quotes; the last match is the empty one at the end.
-_CELL = r'("(?:[^"]|"")*"|[^|]*)(?:\||$)'
+_CELL = r'("[^"]*+(?:""[^"]*+)*+"|[^|]*)(?:\||$)'
 
 
 def split_row(line: Column | str) -> Column:
@@ -178,7 +178,8 @@ def decode_field(cell: Column, kind: str) -> Column:
     return F.when(cell == "N", None).when(cell == "$0=", "").when(quoted, unescape(F.substring(cell, F.lit(2), F.length(cell) - 2))).otherwise(cell)
 
 
-_PATTERNS = {"string": r'(?:"(?:[^"]|"")*"|[^|]*)', "bigint": r"[+-]?[0-9]{1,19}", "double": r"(?:nan|-?inf|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", "boolean": "[TF]"}
+# Quoted texts are matched without recursion: cells may be very long.
+_PATTERNS = {"string": r'(?:"[^"]*+(?:""[^"]*+)*+"|[^|]*)', "bigint": r"[+-]?[0-9]{1,19}", "double": r"(?:nan|-?inf|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", "boolean": "[TF]"}
 
 
 def row_pattern(meta: tuple[str, ...] = ()) -> str:

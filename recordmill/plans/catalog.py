@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from recordmill import schema
 from recordmill.functions import scalar
-from recordmill.operators import codec, compress, profile, routing, select, state, validate
-from recordmill.sources import payload, tabular
+from recordmill.operators import codec, compress, profile, routing, select, session, state, validate
+from recordmill.sources import payload, tabular, text
 from recordmill.sources.derived import memories, messages, read, records, results, sql_views, thoughts, tools
 from recordmill.streaming import stateful
 
@@ -711,3 +711,77 @@ def stream_count_windows(spark, sf_dir):
     stream, folder = _streamed(spark, rows)
     return stateful.drain(stateful.count_windows(stream, "payload_id", 50), folder=folder)
 
+
+# -- sessions, bridges, snapshots -----------------------------------------------------------
+
+
+def _texts(spark: SparkSession, sf_dir: str, *kinds) -> DataFrame:
+    return payload.encode_payloads(records(spark, sf_dir, *kinds)).select(F.col("payload_id").alias("source"), "payload")
+
+
+@query(f"{CALLS}, s AS (SELECT * FROM rec WHERE type = 'tool' AND step >= 3), n AS (SELECT *, row_number() OVER (PARTITION BY payload_id ORDER BY pos) AS k FROM s) SELECT payload_id, k AS pos, id, thread_id, step FROM n")
+def subgraph_payload(spark, sf_dir):
+    """Payload texts cut to later tool calls, read again."""
+    cut = session.subgraph_payloads(_texts(spark, sf_dir, tools, results), step_min=3, types=["tool"])
+    return payload.decode_payloads(cut.select(F.col("payload_id").alias("source"), "payload")).select("payload_id", "pos", "id", "thread_id", "step")
+
+
+@query(f"{CALLS} SELECT payload_id, pos, concat_ws(',', type, id, step, coalesce(data, 'N')) AS line FROM rec")
+def agent_to_csv(spark, sf_dir):
+    return session.payload_to_csv(_texts(spark, sf_dir, tools, results), ["type", "id", "step", "data"])
+
+
+@query(f"{ALL} SELECT substr(payload_id, 1, 1) AS session_id, count(DISTINCT concat(id, '/', thread_id, '/', step)) AS added FROM rec WHERE type <> 'mem' GROUP BY ALL")
+def registry_ingest(spark, sf_dir):
+    """New identities by session when all records come to a registry that has the memories."""
+    df = records(spark, sf_dir).withColumn("session_id", F.substring("payload_id", 1, 1))
+    return session.ingest(df.filter("type = 'mem'"), df)[1]
+
+
+@query(f"{ALL} SELECT substr(payload_id, 1, 1) AS session_id, thread_id, count(*) AS n FROM rec GROUP BY ALL")
+def registry_threads(spark, sf_dir):
+    return session.threads(records(spark, sf_dir).withColumn("session_id", F.substring("payload_id", 1, 1)))
+
+
+_TEXT = ["id", "name", "status", "step", "data", "latency_ms"]
+
+
+@query(f"{CALLS} SELECT payload_id, pos, {', '.join(_TEXT)} FROM rec")
+def text_roundtrip(spark, sf_dir):
+    """Records in the pooled text form and back."""
+    fields = T.StructType([schema.RECORD[c] for c in _TEXT])
+    back = text.decode_tables(text.encode_tables(calls(spark, sf_dir), "payload_id", "pos", _TEXT), "payload_id", fields)
+    return back.withColumnRenamed("row", "pos")
+
+
+@query(ORACLE_SQL["records_to_state"])
+def snapshot_roundtrip(spark, sf_dir):
+    """States as compressed binary snapshots and back."""
+    back = session.from_snapshots(session.snapshots(states(spark, sf_dir)))
+    return back.select("thread_id", F.size("messages").cast("bigint").alias("n_messages"), F.array_join(F.transform("messages", lambda m: F.concat(m["type"], F.lit(":"), m["content"])), ";").alias("messages"))
+
+
+@query(f"{_STATE} SELECT thread_id AS payload_id, count(*) FILTER (k < 2) + 1 AS n FROM m GROUP BY thread_id")
+def context_for_model(spark, sf_dir):
+    """Lines of compressed histories: requests, calls (completed ones as memories), and the state."""
+    lines = session.for_model(states(spark, sf_dir), ["type", "id", "content", "key", "value"], compress=True)
+    return lines.groupBy("payload_id").agg(F.count("*").alias("n"))
+
+
+@query(f"{_STATE} SELECT thread_id AS payload_id, 'node' AS key, concat('n', o_custkey % 3) AS value, count(*) + 2 AS n FROM m GROUP BY thread_id, o_custkey")
+def event_records(spark, sf_dir):
+    events = states(spark, sf_dir).withColumn("node", F.concat(F.lit("n"), F.substring("thread_id", 2, 20).cast("bigint") % 3)).withColumnRenamed("thread_id", "event_id")
+    made = session.event_records(events)
+    mark = F.when(F.col("pos") == 0, F.struct("key", "value"))
+    return made.groupBy("payload_id").agg(F.max(mark).alias("_m"), F.count("*").alias("n")).select("payload_id", "_m.key", "_m.value", "n")
+
+
+@query(f"{CALLS} SELECT payload_id, pos, type, id, step, data FROM rec")
+def stream_decode(spark, sf_dir):
+    """Payload files read as a stream."""
+    folder = _folder(spark)
+    # The text writer ends the last line itself.
+    files = payload.encode_payloads(calls(spark, sf_dir)).select(F.expr("left(payload, length(payload) - 1)").alias("value"), F.col("payload_id").alias("file"))
+    files.repartition("file").write.partitionBy("file").text(f"{folder}/in")
+    rows = stateful.decode_stream(spark, f"{folder}/in/*")
+    return stateful.drain(rows, folder=f"{folder}/state").select("payload_id", "pos", "type", "id", "step", "data")

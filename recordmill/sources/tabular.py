@@ -44,7 +44,7 @@ def csv_lines(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) ->
     return df.select(*keys, F.concat_ws(",", *(csv_cell(c, kinds[c]) for c in columns)).alias("line"))
 
 
-_CSV_CELL = r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'
+_CSV_CELL = r'("[^"]*+(?:""[^"]*+)*+"|[^,]*)(?:,|$)'
 
 
 def read_csv_lines(lines: DataFrame, header: str, keys: tuple[str, ...] = ()) -> DataFrame:

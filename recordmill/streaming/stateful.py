@@ -102,3 +102,13 @@ def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) ->
     query = (writer.option("checkpointLocation", f"{folder}/{name}") if folder else writer).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def decode_stream(spark, path: str, magic: str | None = None) -> DataFrame:
+    """Wide records of payload files as they arrive in a folder, one payload a file; unreadable ones give none."""
+    from recordmill import schema
+    from recordmill.sources.payload import decode_payloads
+
+    files = spark.readStream.schema("value string").option("wholetext", True).format("text").load(path)
+    texts = files.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("payload"))
+    return decode_payloads(texts, magic=magic or schema.MAGIC)

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recordmill.operators import codec, profile
-from recordmill.sources import payload, tabular
+from recordmill import schema
+from recordmill.sources import payload, tabular, text
 from recordmill.streaming import stateful
 from tests.test_records import frame, msg
 
@@ -24,6 +25,20 @@ def test_blocks_come_back(records, strategies):
     assert back == records and [{k: type(v) for k, v in r.items()} for r in back] == [{k: type(v) for k, v in r.items()} for r in records]
 
 
+texts = st.text(st.sampled_from("aN#$0=@,;\\t\n\r_1TF:é"), max_size=8)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.fixed_dictionaries({"a": st.none() | texts, "b": st.sampled_from(["red", "N", "#1"]), "c": st.none() | st.integers(), "d": st.none() | st.booleans(), "e": st.floats(allow_nan=False), "f:,": st.lists(texts, max_size=2)}), max_size=20))
+def test_texts_come_back(records):
+    assert text.decode_text(text.encode_text(records)) == records
+
+
+def test_prompt_names_every_field():
+    out = text.system_prompt()
+    assert all(t in out and all(k in out for k in f) for t, f in schema.FIELDS.items()) and len(text.system_prompt(False, False)) < len(out)
+
+
 def test_bytes_of_known_values():
     assert codec.varint(300) == b"\xac\x02" and codec.signed(-1) == b"\x01" and codec.signed(1) == b"\x02"
     assert codec.text("abc") == b"\x01\x03abc" and codec.text("abcd") == b"\x02\x04abcd"

@@ -46,7 +46,7 @@ def got(df, *names):
 
 
 def test_rows_of_all_types_come_back(spark):
-    odd = [msg(i, 20 + i, content=c) for i, c in enumerate(["a|b", 'say "hi"', "back\\slash \\n kept", "two\nlines\r", "", "日本 😀 _", 'ends with "', "|", '"'])]
+    odd = [msg(i, 20 + i, content=c) for i, c in enumerate(["a|b", 'say "hi"', "back\\slash \\n kept", "two\nlines\r", "", "日本 😀 _", 'ends with "', "|", '"', "long | " * 20_000, 'q"' * 3_000])]
     df = frame(spark, *ALL_TYPES, *odd)
     texts = payload.encode_payloads(df).select(F.col("payload_id").alias("source"), "payload")
     back = payload.decode_payloads(texts)
