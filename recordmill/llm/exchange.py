@@ -54,15 +54,16 @@ class Outbox:
         yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(blocks, pa.binary())], schema=_SCHEMA)
 
 
-def send(df: DataFrame, targets: int, make: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Blocks of the records that ``make`` gives, as (key, records), for each batch of df."""
+def send(df: DataFrame, targets: int, make: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], size: int | None = None) -> DataFrame:
+    """Blocks of the records that ``make`` gives, as (key, records), for each batch of df, or each slice of about ``size`` bytes of its texts."""
     tk.ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Outbox(targets)
         for batch in batches:
-            if batch.num_rows:
-                yield from out.add(*make(batch))
+            for part in [batch] if size is None else tk.chunks(batch, size=size):
+                if part.num_rows:
+                    yield from out.add(*make(part))
         yield from out.flush()
 
     return df.mapInArrow(run, BLOCKS).repartitionById(targets, "part")

@@ -305,7 +305,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_lines(docs: DataFrame) -> DataFrame:
     """(line, root) by line hash, for lines verified to be similar to one of smaller hash."""
     targets = ex.parts(docs)
-    candidates = components(ex.receive(ex.send(docs.select("text"), targets, entries), ENTRY, linked, "node bigint, root bigint"))
+    candidates = components(ex.receive(ex.send(docs.select("text"), targets, entries, CHUNK_BYTES), ENTRY, linked, "node bigint, root bigint"))
     candidates = tk.checkpoint(candidates)
     owner = candidates.select(F.col("node").alias("line"), "root").unionByName(candidates.select(F.col("root").alias("line"), "root").distinct())
     owner = tk.checkpoint(owner)
