@@ -3,7 +3,7 @@
 A character 4-gram language model is counted over all documents (letters case-folded, accents and
 look-alikes folded away). Chunks that look obfuscated - leetspeak, letters spaced out or joined by
 punctuation, letters repeated - become lattices of what each character may stand for, which a Viterbi
-search under the language model and channel costs decodes. Words of the text and the restored ones are
+search under the language model and channel costs decodes; rows of spaced letters may hold several words. Words of the text and the restored ones are
 scored by a lexicon of words and word beginnings, weighted by log odds, which is fitted on at most
 ``TRAIN_ROWS`` labelled documents (those of the smallest hashes of doc_id).
 
@@ -49,6 +49,7 @@ JOINERS = ".-_*~'`·,/\\"
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ԁ": "d", "ο": "o", "α": "a", "ι": "i", "ν": "v", "ß": "s", "ø": "o", "ł": "l", "đ": "d", "æ": "a", "œ": "o", "ı": "i"}
 
 _SPACE, _LEET, _JOIN, _OTHER = 200, 201, 202, 203
+BREAK = 204  # option of a space: the word ends here
 
 
 @lru_cache(maxsize=1)
@@ -195,14 +196,24 @@ def suspicious(f: Folded) -> tuple[np.ndarray, np.ndarray]:
     trail &= f.cp[np.minimum(b, len(f.cp) - 1)] != ord("!")
     b = np.where(trail, b0, b)
     inside = inner | repeated | ((lead | trail) & (bad[b] == bad[a]))
-    # Rows of at least three one-character chunks, a single space between.
-    one = (end - begin == 1) & (f.letter[begin] | (f.kind[begin] == _LEET))
+    # Rows of at least three chunks of one character besides punctuation, a single space between.
+    sign = np.isin(f.cp, [ord(c) for c in "(<!"])
+    core = f.letter | (f.kind == _LEET) & ~sign
+    cores = np.append(0, np.cumsum(core))
+    lone = (end - begin == 1) & (f.kind[begin] == _LEET)
+    one = (cores[end] - cores[begin] == 1) | lone
     after = one[1:] & one[:-1] & (begin[1:] == end[:-1] + 1) & (f.doc(begin[1:]) == f.doc(begin[:-1]))
     head = one & ~np.append(False, after)
     tail = one & ~np.append(after, False)
-    p, q = begin[np.flatnonzero(head)], end[np.flatnonzero(tail)]
-    row = q - p >= 5
-    return np.concatenate([a[inside], p[row]]), np.concatenate([b[inside], q[row]])
+    p, q = np.flatnonzero(head), np.flatnonzero(tail)
+    row = q - p >= 2
+    p, q = begin[p[row]], end[q[row]]
+    # Without the punctuation at their ends.
+    kept = core.copy()
+    kept[begin[lone]] = True
+    at = np.flatnonzero(kept)
+    p, q = at[np.searchsorted(at, p)], at[np.searchsorted(at, q) - 1] + 1
+    return np.concatenate([a[inside], p]), np.concatenate([b[inside], q])
 
 
 @dataclass
@@ -225,7 +236,7 @@ class Lexicon:
 
 
 def decode(chunk: str, lm: np.ndarray, beam: int = BEAM) -> list[tuple[float, tuple[int, ...]]]:
-    """Best readings of a chunk, best first, as symbol sequences."""
+    """Best readings of a chunk, best first, as symbol sequences with a boundary (0) between words; words part at spaces only."""
     fold = fold_table()
     states: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
     last, run = 0, 0
@@ -241,10 +252,16 @@ def decode(chunk: str, lm: np.ndarray, beam: int = BEAM) -> list[tuple[float, tu
             last = 0
             options = [(ord(x) - 96, SWAP) for x in LEET.get(c, "")]
             options.append((0, JOIN if kind != _LEET else 3 * SWAP))
+            if kind == _SPACE:
+                options.append((BREAK, JOIN))
         new: dict[tuple[int, int, int], tuple[float, tuple]] = {}
         for (x, y, z), (score, path) in states.items():
             for sym, cost in options:
-                if sym:
+                if sym == BREAK:
+                    if not z:
+                        continue
+                    key, value, to = (0, 0, 0), score + cost + float(lm[x, y, z, 0]), (path, 0)
+                elif sym:
                     key, value, to = (y, z, sym), score + cost + float(lm[x, y, z, sym]), (path, sym)
                 else:
                     key, value, to = (x, y, z), score + cost, path
@@ -259,7 +276,7 @@ def decode(chunk: str, lm: np.ndarray, beam: int = BEAM) -> list[tuple[float, tu
         while path:
             path, sym = path
             s.append(sym)
-        out.append((score + float(lm[x, y, z, 0]), tuple(reversed(s))))
+        out.append((score + (float(lm[x, y, z, 0]) if z or not s else 0.0), tuple(reversed(s))))
     return sorted(out, reverse=True)
 
 
@@ -274,9 +291,11 @@ def restored(chunk: str, lm: np.ndarray, lexicon: Lexicon) -> tuple[bool, dict[i
         hits: dict[int, float] = {}
         for score, s in readings:
             if score >= readings[0][0] - MARGIN:
-                hits |= lexicon.of(np.array(s, np.uint8))
+                word = np.array(s, np.uint8)
+                for w in np.split(word, np.flatnonzero(word == 0)):
+                    hits |= lexicon.of(w[w > 0])
         plain = tuple(symbols(chunk).tolist())
-        found = (bool(readings) and readings[0][1] != plain, hits)
+        found = (bool(readings) and tuple(x for x in readings[0][1] if x) != plain, hits)
         if len(_SEEN) > 200_000:
             _SEEN.clear()
         _SEEN[chunk] = found

@@ -58,6 +58,23 @@ def test_suspicious_spans():
     assert {"r1ver", "i d i o t", "Stoooone", "$cum"} <= got and not got & {"word", "plain", "of$$$", "12", "word%%%"}
 
 
+def hits(s, words, lm):
+    """Which of the words are found in a text."""
+    lexicon = tx.Lexicon({tx.key_of(tx.symbols(w)): 4.0 for w in words}, {})
+    tx._SEEN.clear()
+    score, _ = tx.score_batch(pa.array([s]), lm, lexicon)
+    tx._SEEN.clear()
+    return score[0] / 4.0
+
+
+def test_spaced_words_in_sentences():
+    lm = model(WORDS + ["a"] * 60 + ["y"] * 60)
+    for s in ("m o r o n.", "you m o r o n, go", '"m o r o n"', "(m o r o n)", "m o r o n!", "a m o r o n", "what a m o r o n.", "y m o r o n", "m 0 r o n."):
+        assert hits(s, ["moron"], lm) == 1, s
+    assert hits("i d i o t c l o w n.", ["idiot", "clown"], lm) == 2
+    assert hits("a r i v e r, l i g h t.", ["moron", "idiot"], lm) == 0
+
+
 def test_toxic_documents(spark):
     rng = np.random.default_rng(3)
     calm = ["river", "stone", "under", "light", "quiet", "paper", "tooth", "green"]
