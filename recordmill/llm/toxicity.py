@@ -172,11 +172,51 @@ def smoothed(total: np.ndarray) -> np.ndarray:
 # -- deobfuscation --------------------------------------------------------------------------
 
 
+def leet_spans(f: Folded) -> tuple[np.ndarray, np.ndarray]:
+    """Whole spans of at least three letters and leet characters, of which some are leet, without what isn't part of a word at their ends."""
+    begin, end = f.runs((f.kind != _SPACE) & (f.kind != _OTHER))
+    word = f.letter | (f.kind == _LEET)
+    at = np.flatnonzero(word)
+    words = np.append(0, np.cumsum(word))
+    some = words[end] > words[begin]
+    begin, end = begin[some], end[some]
+    if not len(begin):
+        return begin, end
+    a, b = at[np.searchsorted(at, begin)], at[np.searchsorted(at, end) - 1] + 1
+    mark = f.cp == ord("!")
+    inner = np.append(0, np.cumsum((f.kind == _LEET) & ~mark))
+    marks = np.append(0, np.cumsum(mark))
+    some = (inner[b] > inner[a]) | (marks[b - 1] > marks[a])
+    a, b = a[some], b[some]
+    # Both with and without a bracket before or an exclamation mark behind; of three or more equal signs behind, two.
+    spans = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        last = f.cp[y - 1]
+        if f.kind[y - 1] == _LEET and not 48 <= last <= 57:
+            run = 1
+            while y - run > x and f.cp[y - run - 1] == last:
+                run += 1
+            most = 1 if last == 33 else 2
+            y -= max(run - most, 0)
+        spans.append((x, y))
+        bare = y - 1 if last == 33 else y
+        while x < bare and f.cp[x] in (40, 60):
+            x += 1
+        spans += [(x, y), (x, bare)]
+    a, b = np.unique(np.array(spans, np.int64).reshape(-1, 2), axis=0).T
+    leet = np.append(0, np.cumsum(f.kind == _LEET))
+    keep = (words[b] - words[a] >= 3) & (leet[b] > leet[a])
+    return a[keep], b[keep]
+
+
 def suspicious(f: Folded) -> tuple[np.ndarray, np.ndarray]:
-    """Spans that look obfuscated: chunks with leet or joining characters among letters or with a letter three times running, and rows of single letters."""
+    """Spans that look obfuscated: chunks with leet or joining characters among letters or with a letter three times running, each from letter to letter and whole, and rows of single letters."""
     begin, end = f.runs(f.kind != _SPACE)
-    if not len(begin) or not len(f.start):
+    if not len(begin):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = leet_spans(f)
+    if not len(f.start):
+        return wide
     letters = np.append(0, np.cumsum(f.letter))
     # From the first to the last letter of each chunk that has two letters.
     has = letters[end] - letters[begin] >= 2
@@ -213,7 +253,9 @@ def suspicious(f: Folded) -> tuple[np.ndarray, np.ndarray]:
     kept[begin[lone]] = True
     at = np.flatnonzero(kept)
     p, q = at[np.searchsorted(at, p)], at[np.searchsorted(at, q) - 1] + 1
-    return np.concatenate([a[inside], p]), np.concatenate([b[inside], q])
+    spans = np.stack([np.concatenate([a[inside], p, wide[0]]), np.concatenate([b[inside], q, wide[1]])], axis=1)
+    a, b = np.unique(spans, axis=0).T
+    return a, b
 
 
 @dataclass
@@ -295,7 +337,14 @@ def restored(chunk: str, lm: np.ndarray, lexicon: Lexicon) -> tuple[bool, dict[i
                 for w in np.split(word, np.flatnonzero(word == 0)):
                     hits |= lexicon.of(w[w > 0])
         plain = tuple(symbols(chunk).tolist())
-        found = (bool(readings) and tuple(x for x in readings[0][1] if x) != plain, hits)
+        changed = bool(readings) and tuple(x for x in readings[0][1] if x) != plain
+        if not plain and not any(c.isspace() for c in chunk):
+            digits = sum(c.isdigit() for c in chunk)
+            # A number is a word only if that is likelier than so many digits at random, by a margin.
+            if not any(c in LEET and not c.isdigit() for c in chunk) and readings[0][0] <= MARGIN - digits * math.log(10):
+                hits = {}
+            changed = bool(hits)
+        found = (changed, hits)
         if len(_SEEN) > 200_000:
             _SEEN.clear()
         _SEEN[chunk] = found
@@ -328,9 +377,12 @@ def score_batch(arr: pa.Array, lm: np.ndarray, lexicon: Lexicon) -> tuple[np.nda
     count = np.zeros(docs, np.int64)
     a, b = suspicious(f)
     owner = f.doc(a)
+    reach = 0  # spans of one chunk count once
     for d, x, y in zip(owner.tolist(), a.tolist(), b.tolist(), strict=True):
         changed, hits = restored(f.cp[x:y].tobytes().decode("utf-32-le", "surrogatepass"), lm, lexicon)
-        count[d] += changed
+        if changed and x >= reach:
+            count[d] += 1
+            reach = y
         for k, v in hits.items():
             doc.append(np.array([d]))
             key.append(np.array([k], np.uint64))

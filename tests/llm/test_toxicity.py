@@ -75,6 +75,17 @@ def test_spaced_words_in_sentences():
     assert hits("a r i v e r, l i g h t.", ["moron", "idiot"], lm) == 0
 
 
+def test_words_of_mostly_leet_characters():
+    lm = model(WORDS + ["shit", "ass", "class", "idiots", "loses"] * 30)
+    for s, w in (("5h17", "shit"), ("what 5h17!", "shit"), ("(5h17)", "shit"), ("l0535", "loses"), ("@$$", "ass"), ('"@$$",', "ass"), ("id1075", "idiots"), ("m0r0n123", "moron"), ("you;m0r0n;", "moron"), ("$$$m0r0n", "moron")):
+        assert hits(s, [w], lm) == 1, s
+    for s in ("455", "$100", "1,234.50", "2024", "class", "river!", "12:30"):
+        assert hits(s, ["ass", "shit", "moron"], lm) == 0, s
+    lexicon = tx.Lexicon({}, {})
+    _, count = tx.score_batch(pa.array(["m0r0n123", "$100 and 2024", "@ !!! 99", "", None]), lm, lexicon)
+    assert count.tolist() == [1, 0, 0, 0, 0]
+
+
 def test_toxic_documents(spark):
     rng = np.random.default_rng(3)
     calm = ["river", "stone", "under", "light", "quiet", "paper", "tooth", "green"]
