@@ -34,7 +34,7 @@ RULES = (
     (r"\bv\.?\s*([0-9])", "v{1}"),
     (r"[^\p{L}\p{N}]+", " "),
 )
-MARKERS = ("licen", "permission", "redistribution", "public domain")
+MARKERS = ("licen", "permission", "redistribution", "public domain", "cc", "gpl")
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
@@ -127,7 +127,7 @@ def registry() -> list[tuple[str, str]]:
                 out.append((spdx, notice))
                 if "licen" not in name.lower():
                     out.append((spdx, notice + " license"))
-    return [(i, t) for i, t in out if any(m in t.lower().replace("licence", "license") for m in MARKERS)]
+    return out
 
 
 def canonical(text: Column) -> Column:

@@ -45,3 +45,9 @@ def test_scan_against_brute_force(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {(1, "text", 0, "MIT"), (2, "text", 0, "MIT"), (3, "line", 1, "Apache-2.0"), (9, "line", 1, "GPL-3.0")} <= set(got)
     assert lc.license_scan(docs.limit(0)).collect() == []
+
+
+def test_notices_without_the_word_license(spark):
+    rows = {1: "Released under CC BY 4.0", 2: "Distributed under CC0 1.0", 3: "Available under the GNU GPL v3", 4: "some\nReleased  under the\tCC BY-SA 4.0.\nmore", 5: "according to GPL and CC"}
+    got = {(r.doc_id, r.license_id) for r in lc.license_scan(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")).collect()}
+    assert got == {(1, "CC-BY-4.0"), (2, "CC0-1.0"), (3, "GPL-3.0"), (4, "CC-BY-SA-4.0")}
