@@ -58,14 +58,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["node", "root"])
 
 
-def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
-    """(node, root) of every node that isn't the smallest of its component; edges are its first two bigint columns."""
-    tk.ship(edges.sparkSession)
+def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES, shrunk: bool = False) -> DataFrame:
+    """(node, root) of every node that isn't the smallest of its component; edges are its first two bigint columns.
+
+    ``shrunk``: the tasks that make the edges give forests already.
+    """
     a, b = edges.columns[:2]
     edges = edges.select(F.col(a).alias("node"), F.col(b).alias("root")).filter("node <> root")
-    edges = tk.checkpoint(edges.mapInArrow(_forest, "node bigint, root bigint"))
+    edges = tk.checkpoint(edges if shrunk else tk.arrow(edges, _forest, "node bigint, root bigint"))
     if edges.count() <= one_task:
-        return edges.coalesce(1).mapInArrow(_forest, "node bigint, root bigint")
+        return tk.arrow(edges.coalesce(1), _forest, "node bigint, root bigint")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))

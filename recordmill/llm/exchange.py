@@ -1,8 +1,9 @@
-"""Columnar exchange: fixed-width numpy records shuffled as binary blocks.
+"""Columnar exchange: records shuffled as binary blocks.
 
 A task sorts its records by target partition and sends each target one block, so that a shuffle
 of hundreds of millions of small records costs Spark one row per (task, target). Blocks are
 addressed by ``repartitionById``; the shuffle itself, its spilling and its recovery stay Spark's.
+Fixed-width records travel as numpy bytes, rows of any other kind as compressed Arrow tables.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from pyspark.sql import DataFrame
 from recordmill.llm import textkit as tk
 
 FLUSH_BYTES = 16 << 20
+TABLE_BYTES = 8 << 20
 BLOCKS = "part int, block binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.binary())])
+TABLES = "part int, kind int, block binary"
+_TABLES = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
 
 
 def parts(df: DataFrame, factor: float = 2.0) -> int:
@@ -25,17 +29,21 @@ def parts(df: DataFrame, factor: float = 2.0) -> int:
     return max(8, int(df.rdd.getNumPartitions() * factor))
 
 
+def target(key: np.ndarray, targets: int) -> np.ndarray:
+    return (tk.mix(key.astype(np.uint64)) % np.uint64(targets)).astype(np.int32)
+
+
 class Outbox:
     """Collects records and gives them out as blocks by target."""
 
     def __init__(self, targets: int):
-        self.targets = np.uint64(targets)
+        self.targets = targets
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, key: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(records):
-            self.held.append(((tk.mix(key.astype(np.uint64)) % self.targets).astype(np.int32), records))
+            self.held.append((target(key, self.targets), records))
             self.size += records.nbytes
         if self.size >= FLUSH_BYTES:
             yield from self.flush()
@@ -54,19 +62,19 @@ class Outbox:
         yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(blocks, pa.binary())], schema=_SCHEMA)
 
 
-def send(df: DataFrame, targets: int, make: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], size: int | None = None) -> DataFrame:
-    """Blocks of the records that ``make`` gives, as (key, records), for each batch of df, or each slice of about ``size`` bytes of its texts."""
-    tk.ship(df.sparkSession)
+def send(df: DataFrame, targets: int, make: Callable[..., tuple[np.ndarray, np.ndarray]], size: int | None = None, state: Callable | None = None) -> DataFrame:
+    """Blocks of the records that ``make`` gives, as (key, records), for each batch of df, or each slice of about ``size`` bytes of its texts; ``state`` makes what is handed on from slice to slice of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Outbox(targets)
+        more = (state(),) if state else ()
         for batch in batches:
             for part in [batch] if size is None else tk.chunks(batch, size=size):
                 if part.num_rows:
-                    yield from out.add(*make(part))
+                    yield from out.add(*make(part, *more))
         yield from out.flush()
 
-    return df.mapInArrow(run, BLOCKS).repartitionById(targets, "part")
+    return tk.arrow(df, run, BLOCKS).repartitionById(targets, "part")
 
 
 def receive(blocks: DataFrame, dtype: np.dtype, work: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -77,8 +85,71 @@ def receive(blocks: DataFrame, dtype: np.dtype, work: Callable[[np.ndarray], Ite
         if held:
             yield from work(np.concatenate(held))
 
-    return blocks.mapInArrow(run, schema)
+    return tk.arrow(blocks, run, schema)
 
 
 def table(names: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names.split())
+
+
+class TableBox:
+    """Collects rows and gives them out by target as compressed Arrow tables of a kind."""
+
+    def __init__(self, targets: int, kind: int = 0):
+        self.targets, self.kind = targets, kind
+        self.held: list[tuple[np.ndarray, pa.RecordBatch]] = []
+        self.size = 0
+
+    def add(self, key: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows:
+            self.held.append((target(key, self.targets), rows))
+            self.size += rows.nbytes
+        if self.size >= TABLE_BYTES:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        part = np.concatenate([p for p, _ in self.held])
+        rows = pa.Table.from_batches([r for _, r in self.held])
+        self.held, self.size = [], 0
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        begin, end = np.append(0, cuts), np.append(cuts, len(part))
+        blocks = [packed(rows.take(pa.array(order[a:b]))) for a, b in zip(begin, end, strict=True)]
+        kind = pa.array(np.full(len(begin), self.kind, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(part[begin]), kind, pa.array(blocks, pa.binary())], schema=_TABLES)
+
+
+def packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(block: pa.BinaryScalar) -> list[pa.RecordBatch]:
+    with pa.ipc.open_stream(block.as_buffer()) as stream:
+        return list(stream)
+
+
+def send_tables(df: DataFrame, targets: int, kind: int, make: Callable[..., Iterator[tuple[np.ndarray, pa.RecordBatch]]], state: Callable | None = None) -> DataFrame:
+    """Table blocks of the (key, rows) that ``make`` gives for each batch of df; put the blocks of several kinds together by union, then share() them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = TableBox(targets, kind)
+        more = (state(),) if state else ()
+        for batch in batches:
+            for key, rows in make(batch, *more):
+                yield from out.add(key, rows)
+        yield from out.flush()
+
+    return tk.arrow(df, run, TABLES)
+
+
+def share(targets: int, *blocks: DataFrame) -> DataFrame:
+    every = blocks[0]
+    for x in blocks[1:]:
+        every = every.unionByName(x)
+    return every.repartitionById(targets, "part")

@@ -99,4 +99,4 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame:
                     ["doc_id", "fingerprints", "positions"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fingerprints array<bigint>, positions array<int>")
+    return tk.arrow(docs.select("doc_id", "text"), run, "doc_id bigint, fingerprints array<bigint>, positions array<int>")

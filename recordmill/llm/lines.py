@@ -5,8 +5,10 @@ set of a line's ``K``-character shingles (characters counted as UTF-8 bytes) get
 MinHash signature of ``BANDS * ROWS`` values, and lines that agree in all rows of a band are
 candidates. A distributed union-find over the candidates brings the texts of each candidate
 component to one task, where the exact Jaccard similarity of shingle sets is computed for
-candidates not yet connected; similarities of at least ``THRESHOLD`` connect. Of each component of
-equal and similar lines, the first line by (doc_id, line number) stays.
+candidates not yet connected; similarities of at least ``THRESHOLD`` connect. The texts of a candidate
+component of more than ``LARGE`` lines go to a task for each of their buckets instead, and a second union-find
+puts together what is verified there. Of each component of equal and similar lines, the first line by
+(doc_id, line number) stays.
 
 Banding finds a pair of similarity 0.8 with probability 0.97 and of 0.85 with 0.997; what it finds is
 verified exactly. Lines shorter than ``K`` are only compared for equality.
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,7 @@ NONE = np.uint32(0xFFFFFFFF)
 ENTRY = np.dtype([("key", "<u8"), ("line", "<u8")])
 FILTER_KEYS = 16_000_000
 GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 1 << 19, 1 << 18, 1 << 20
+LARGE = 20_000
 
 
 class Lines:
@@ -99,19 +103,42 @@ def band_keys(line: np.ndarray, h: np.ndarray, lines: int) -> np.ndarray:
     return out
 
 
-def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for part in tk.chunks(batch, size=CHUNK_BYTES):
-        ln = Lines(tk.column(part, "text"))
-        _, pick = np.unique(ln.hash, return_index=True)
-        pick = pick[ln.end[pick] - ln.start[pick] >= K]
-        if not len(pick):
-            continue
-        keys = band_keys(*shingles(ln.values, ln.start[pick], ln.end[pick]), len(pick))
-        e = np.empty(keys.size, ENTRY)
-        e["key"], e["line"] = keys.ravel(), np.repeat(ln.hash[pick], BANDS)
-        out.append(e)
-    e = np.concatenate(out) if out else np.zeros(0, ENTRY)
+class Seen:
+    """Hashes that a task has met, the latest ``MOST`` or so; forgetting some costs repeats only."""
+
+    MOST = 1 << 20
+
+    def __init__(self):
+        self.known = np.zeros(0, np.uint64)
+
+    def fresh(self, h: np.ndarray) -> np.ndarray:
+        """Which of the distinct hashes are new."""
+        new = ~found_in(self.known, h)
+        if len(self.known) > self.MOST:
+            self.known = np.zeros(0, np.uint64)
+        self.known = np.sort(np.concatenate([self.known, h[new]]))
+        return new
+
+
+def found_in(ascending: np.ndarray, h: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(h), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, h), len(ascending) - 1)] == h
+
+
+def distinct_lines(ln: Lines, seen: Seen) -> np.ndarray:
+    """Indexes of lines of at least K bytes that the task hasn't met."""
+    _, pick = np.unique(ln.hash, return_index=True)
+    pick = pick[ln.end[pick] - ln.start[pick] >= K]
+    return pick[seen.fresh(ln.hash[pick])]
+
+
+def entries(part: pa.RecordBatch, seen: Seen) -> tuple[np.ndarray, np.ndarray]:
+    ln = Lines(tk.column(part, "text"))
+    pick = distinct_lines(ln, seen)
+    keys = band_keys(*shingles(ln.values, ln.start[pick], ln.end[pick]), len(pick))
+    e = np.empty(keys.size, ENTRY)
+    e["key"], e["line"] = keys.ravel(), np.repeat(ln.hash[pick], BANDS)
     return e["key"], e
 
 
@@ -163,31 +190,32 @@ def small_filter(keys: DataFrame, most: int = FILTER_KEYS) -> Filter | None:
         yield pa.RecordBatch.from_pydict({"block": [f.data.tobytes()]}, pa.schema([("block", pa.binary())]))
 
     out = Filter(bits)
-    for r in keys.coalesce(4).mapInArrow(fill, "block binary").collect():  # four filters of checked size
+    for r in tk.arrow(keys.coalesce(4), fill, "block binary").collect():  # four filters of checked size
         out.data |= np.frombuffer(bytes(r.block), np.uint8)
     return out
 
 
-def line_texts(docs: DataFrame, wanted: Filter | None) -> DataFrame:
-    """(line, body) of lines that pass the filter, repeats within a batch left out."""
+def binary(buf: np.ndarray, start: np.ndarray, size: np.ndarray, kind: pa.DataType = pa.binary()) -> pa.Array:
+    """The spans of buf as an array."""
+    off = np.append(0, np.cumsum(size)).astype(np.int32)
+    return pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(buf[tk.ranges(start, size)].tobytes())])
+
+
+def line_texts(docs: DataFrame, targets: int, wanted: Filter | None) -> DataFrame:
+    """Blocks of (line, body) of lines that pass the filter, each once by task."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tk.chunks(batch, size=CHUNK_BYTES):
-                ln = Lines(tk.column(part, "text"))
-                _, pick = np.unique(ln.hash, return_index=True)
-                pick = pick[ln.end[pick] - ln.start[pick] >= K]
-                if shared.value is not None and len(pick):
-                    pick = pick[shared.value.has(ln.hash[pick])]
-                if len(pick):
-                    size = ln.end[pick] - ln.start[pick]
-                    off = np.append(0, np.cumsum(size)).astype(np.int32)
-                    data = ln.buf[tk.ranges(ln.start[pick], size)].tobytes()
-                    body = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([pa.array(ln.hash[pick].view(np.int64)), body], ["line", "body"])
-
-    return docs.select("text").mapInArrow(run, "line bigint, body binary")
+    def make(batch: pa.RecordBatch, seen: Seen) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+        for part in tk.chunks(batch, size=CHUNK_BYTES):
+            ln = Lines(tk.column(part, "text"))
+            pick = distinct_lines(ln, seen)
+            if shared.value is not None and len(pick):
+                pick = pick[shared.value.has(ln.hash[pick])]
+            h = ln.hash[pick]
+            body = binary(ln.buf, ln.start[pick], ln.end[pick] - ln.start[pick])
+            yield h, pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), body], ["line", "body"])
+
+    return ex.send_tables(docs, targets, 1, make, Seen)
 
 
 def similar(a: np.ndarray, b: np.ndarray, first: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -215,9 +243,7 @@ def similar(a: np.ndarray, b: np.ndarray, first: np.ndarray, key: np.ndarray) ->
 def verify(line: np.ndarray, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(line, smallest line of its verified component) for lines that aren't that one."""
     n = len(line)
-    off = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + n + 1].astype(np.int64)
-    buf = np.frombuffer(bodies.buffers()[2], np.uint8)[off[0] : off[-1]]
-    off = off - off[0]
+    buf, off = spans_of(bodies)
     blocks = np.unique(np.append(np.searchsorted(off, np.arange(0, off[-1], BLOCK_BYTES)), n))
     blocks = list(zip(np.append(0, blocks[:-1]).tolist(), blocks.tolist(), strict=True))
 
@@ -278,110 +304,223 @@ def verify(line: np.ndarray, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return line[root != line], root[root != line]
 
 
+def by_component(targets: int):
+    """Joins blocks of owners (kind 0) with those of bodies (kind 1) and sends each body to its component, or to its ``BANDS`` buckets if the component is large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, bodies = [], []
+        for batch in batches:
+            for kind, block in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                (bodies if kind else owners).extend(ex.unpacked(block))
+        if not owners or not bodies:
+            return
+        owner = pa.Table.from_batches(owners).sort_by("line")
+        line, root, large = (np.asarray(owner[c].combine_chunks()) for c in ("line", "root", "large"))
+        out, met = ex.TableBox(targets), Seen()
+        for rows in bodies:
+            mine = rows.column(0).to_numpy()
+            at = np.minimum(np.searchsorted(line, mine), len(line) - 1)
+            some = np.flatnonzero(line[at] == mine)
+            _, first = np.unique(mine[some], return_index=True)
+            some = some[first]
+            some = some[met.fresh(mine[some].view(np.uint64))]
+            group = root[at[some]].view(np.uint64)
+            wide = large[at[some]].astype(bool)
+            for pick, keys in ((some[~wide], group[~wide].reshape(-1, 1)), (some[wide], buckets(rows.column(1).take(pa.array(some[wide]))))):
+                taken = rows.take(pa.array(np.repeat(pick, keys.shape[1])))
+                key = keys.ravel()
+                yield from out.add(key, pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *taken.columns], ["root", "line", "body"]))
+        yield from out.flush()
+
+    return run
+
+
+def spans_of(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary array."""
+    off = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
+    data = bodies.buffers()[2]
+    buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return buf[off[0] : off[-1]], off - off[0]
+
+
+def buckets(bodies: pa.Array) -> np.ndarray:
+    """The band keys of each body."""
+    if not len(bodies):
+        return np.zeros((0, BANDS), np.uint64)
+    buf, off = spans_of(bodies)
+    return band_keys(*shingles(tk.byte_table()[buf], off[:-1], off[1:]), len(bodies))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs verify() on whole components of rows (root, line, body) sorted by root."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def work(rows: pa.RecordBatch) -> pa.RecordBatch:
-        return ex.table("line root", *verify(rows.column(1).to_numpy(), rows.column(2)))
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.nbytes
-        if size >= GROUP_BYTES:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            root = rows.column(0).to_numpy()
-            cut = int(np.searchsorted(root, root[-1]))
-            if cut:
-                yield work(rows.slice(0, cut))
-            held, size = [rows.slice(cut)], rows.slice(cut).nbytes if cut else 0
-    if held:
-        yield work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-
-def similar_lines(docs: DataFrame) -> DataFrame:
-    """(line, root) by line hash, for lines verified to be similar to one of smaller hash."""
+    """Runs verify() on whole components of the rows (root, line, body) of a target."""
+    held = [rows for batch in batches for block in batch.column(2) for rows in ex.unpacked(block)]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    del held
+    root, line = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    order = np.lexsort((line, root))
+    root, line = root[order], line[order]
+    new = np.append(True, (root[1:] != root[:-1]) | (line[1:] != line[:-1]))
+    order, root, line = order[new], root[new], line[new]
+    size = pc.binary_length(rows.column(2)).to_numpy()[order].astype(np.int64)
+    total = np.append(0, np.cumsum(size + 16))
+    first = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
+    edge = np.append(first, len(root))
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(total[edge], total[edge[at]] + GROUP_BYTES, side="right")) - 1)
+        a, b = edge[at], edge[to]
+        yield ex.table("line root", *verify(line[a:b], rows.column(2).take(pa.array(order[a:b]))))
+        at = to
+
+
+def similar_lines(docs: DataFrame, large: int = LARGE) -> DataFrame:
+    """(line, root) by line hash, for lines verified to be similar to one of smaller hash; candidate components of more than ``large`` lines are verified by bucket."""
     targets = ex.parts(docs)
-    candidates = components(ex.receive(ex.send(docs.select("text"), targets, entries, CHUNK_BYTES), ENTRY, linked, "node bigint, root bigint"))
+    candidates = components(ex.receive(ex.send(docs.select("text"), targets, entries, CHUNK_BYTES, Seen), ENTRY, linked, "node bigint, root bigint"), shrunk=True)
     candidates = tk.checkpoint(candidates)
+    wide = tk.checkpoint(candidates.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") >= large).select("root", F.lit(True).alias("large")))
+    split = not wide.isEmpty()
     owner = candidates.select(F.col("node").alias("line"), "root").unionByName(candidates.select(F.col("root").alias("line"), "root").distinct())
-    owner = tk.checkpoint(owner)
-    texts = line_texts(docs, small_filter(owner)).groupBy("line").agg(F.first("body").alias("body"))
-    gathered = texts.join(owner, "line").select("root", "line", "body").repartition(targets, "root").sortWithinPartitions("root", "line")
-    return gathered.mapInArrow(_verified, "line bigint, root bigint")
+    owner = owner.join(wide, "root", "left") if split else owner.withColumn("large", F.lit(False))
+    owner = tk.checkpoint(owner.select("line", "root", F.coalesce("large", F.lit(False)).alias("large")))
+
+    def owners(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+        yield batch.column(0).to_numpy().view(np.uint64), batch
+
+    texts = line_texts(docs.select("text"), targets, small_filter(owner))
+    gathered = tk.arrow(ex.share(targets, ex.send_tables(owner, targets, 0, owners), texts), by_component(targets), ex.TABLES)
+    found = tk.arrow(ex.share(targets, gathered), _verified, "line bigint, root bigint")
+    return components(found).withColumnsRenamed({"node": "line"}) if split else found
+
+
+def places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, document, number) of every line that isn't blank."""
+    made = []
+    for part in tk.chunks(batch, size=CHUNK_BYTES):
+        ln = Lines(tk.column(part, "text"))
+        made.append((ln.hash, tk.column(part, "doc_id").cast(pa.int64()).to_numpy()[ln.doc], ln.number))
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every non-blank line."""
-    tk.ship(docs.sparkSession)
+def ends_of_lines(docs: DataFrame) -> DataFrame:
+    """(line, low, high): the first and last place (doc_id, line_no) of each line, by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.chunks(batch, size=CHUNK_BYTES):
-                ln = Lines(tk.column(part, "text"))
-                ids = tk.column(part, "doc_id").cast(pa.int64()).take(pa.array(ln.doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(ln.number), pa.array(ln.hash.view(np.int64))], ["doc_id", "line_no", "line"])
+            line, doc, number = places(batch)
+            order = np.lexsort((number, doc, line))
+            line, doc, number = line[order], doc[order], number[order]
+            first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(line))[: len(first)] - 1
+            yield ex.table("line low_doc low_no high_doc high_no", line[first].view(np.int64), doc[first], number[first], doc[last], number[last])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, line_no bigint, line bigint")
+    made = tk.arrow(docs, run, "line bigint, low_doc bigint, low_no bigint, high_doc bigint, high_no bigint")
+    return made.select("line", F.struct("low_doc", "low_no").alias("low"), F.struct("high_doc", "high_no").alias("high"))
+
+
+def occurrences(docs: DataFrame, wanted: Filter | None) -> DataFrame:
+    """(doc_id, line_no, line) of the lines that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line, doc, number = places(batch)
+            if shared.value is not None and len(line):
+                some = shared.value.has(line)
+                line, doc, number = line[some], doc[some], number[some]
+            yield ex.table("doc_id line_no line", doc, number, line.view(np.int64))
+
+    return tk.arrow(docs, run, "doc_id bigint, line_no bigint, line bigint")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, kept_doc_id, kept_line_no) of the lines to remove."""
+    """(doc_id, line_no, line, kept_doc_id, kept_line_no) of the lines to remove, each once."""
+    docs = docs.filter("doc_id is not null").select("doc_id", "text")
     same = tk.checkpoint(similar_lines(docs))
-    seen = occurrences(docs).join(same, "line", "left").withColumn("root", F.coalesce("root", "line"))
-    seen = tk.checkpoint(seen.groupBy("doc_id", "line_no", "line", "root").agg(F.lit(1).alias("_one")))
-    first = seen.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("_kept"), F.count("*").alias("_n")).filter("_n > 1")
-    out = seen.join(first, "root").filter((F.col("doc_id") != F.col("_kept.doc_id")) | (F.col("line_no") != F.col("_kept.line_no")))
-    return out.select("doc_id", "line_no", "line", F.col("_kept.doc_id").alias("kept_doc_id"), F.col("_kept.line_no").alias("kept_line_no"))
+    ends = ends_of_lines(docs).join(same, "line", "left").groupBy(F.coalesce("root", "line").alias("root"))
+    kept = ends.agg(F.min("low").alias("low"), F.max("high").alias("high")).filter((F.col("low.low_doc") != F.col("high.high_doc")) | (F.col("low.low_no") != F.col("high.high_no")))
+    kept = tk.checkpoint(kept.select("root", F.col("low.low_doc").alias("kept_doc_id"), F.col("low.low_no").alias("kept_line_no")))
+    by_line = kept.withColumnRenamed("root", "line").unionByName(same.join(kept, "root").drop("root"))
+    by_line = tk.checkpoint(by_line.select("line", "kept_doc_id", "kept_line_no"))
+    out = occurrences(docs, small_filter(by_line)).join(by_line, "line").filter((F.col("doc_id") != F.col("kept_doc_id")) | (F.col("line_no") != F.col("kept_line_no")))
+    return out.select("doc_id", "line_no", "line", "kept_doc_id", "kept_line_no").distinct()
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
-    return removals(docs).select("doc_id", "line_no", "kept_doc_id", "kept_line_no")
+    return removals(docs).select("doc_id", "line_no", "kept_doc_id", "kept_line_no").distinct()
+
+
+def place_key(doc: np.ndarray, number: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return tk.mix(line + tk.mix(tk.mix(doc.astype(np.uint64)) * tk.MULT + number.astype(np.uint64)))
+
+
+def without(batch: pa.RecordBatch, gone: np.ndarray) -> pa.RecordBatch:
+    """The rows of a slice without the lines whose place keys are in ``gone`` (ascending)."""
+    text = tk.as_array(tk.column(batch, "text"))
+    ln = Lines(text)
+    ids = pc.fill_null(tk.column(batch, "doc_id").cast(pa.int64()), 0).to_numpy()
+    drop = np.zeros(len(ln.all_doc), bool)
+    drop[ln.real] = found_in(gone, place_key(ids[ln.doc], ln.number, ln.hash))
+    if not drop.any():
+        return batch
+    raw, off = tk.utf8(text)
+    docs = len(text)
+    had = np.bincount(ln.doc, minlength=docs)
+    lost = np.bincount(ln.all_doc[drop], minlength=docs)
+    kept = np.flatnonzero(~drop)
+    owner = ln.all_doc[kept]
+    # A kept line brings the line break behind it if another kept one follows in its document.
+    size = ln.all_end[kept] - ln.all_begin[kept] + np.append(owner[1:] == owner[:-1], False)[: len(kept)]
+    total = np.bincount(owner, size, docs).astype(np.int64)
+    body = raw[tk.ranges(ln.all_begin[kept], size)]
+    ends = np.append(0, np.cumsum(total)).astype(np.int32)
+    valid = pa.array(pc.is_valid(text).to_numpy(zero_copy_only=False)).buffers()[1] if text.null_count else None
+    new = pa.Array.from_buffers(pa.string(), docs, [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())])
+    cells = list(batch.columns)
+    cells[batch.schema.get_field_index("text")] = new
+    n = batch.schema.get_field_index("n_chars")
+    if n >= 0 and pa.types.is_integer(cells[n].type):
+        cells[n] = pc.if_else(pa.array(lost > 0), pc.utf8_length(new).cast(cells[n].type), cells[n])
+    return pa.RecordBatch.from_arrays(cells, schema=batch.schema).filter(pa.array((lost == 0) | (lost < had)))
 
 
 def cut_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """docs without the removed lines; a document that loses all of its lines that aren't blank goes."""
-    by = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line_no").alias("_no"), F.collect_list("line").alias("_line"))
-    joined = docs.join(by, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    columns = docs.columns
+    """docs without the removed lines; a document that loses all of its lines that aren't blank goes.
+
+    Rows travel to their removals as compressed tables, by doc_id; those without one stay with no target in particular.
+    """
+    targets = ex.parts(docs)
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+        ids = tk.column(batch, "doc_id").cast(pa.int64())
+        key = pc.fill_null(ids, 0).to_numpy()
+        if ids.null_count:
+            key = np.where(pc.is_null(ids).to_numpy(zero_copy_only=False), np.arange(len(key)), key)
+        yield key, batch
+
+    def places_gone(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+        doc, number, line = (batch.column(i).to_numpy() for i in range(3))
+        yield doc, ex.table("key", place_key(doc, number, line.view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone, held = [np.zeros(0, np.uint64)], []
         for batch in batches:
-            for part in tk.chunks(batch, size=CHUNK_BYTES):
-                text = tk.column(part, "text")
-                ln = Lines(text)
-                raw, _ = tk.utf8(text)
-                lists = [tk.column(part, "_no"), tk.column(part, "_line")]
-                owner = np.repeat(np.arange(len(text)), [len(x) if x.is_valid else 0 for x in lists[0]])
-                gone = tk.mix(lists[1].flatten().to_numpy(zero_copy_only=False).view(np.uint64) + (owner * np.int64(1 << 32) + lists[0].flatten().to_numpy(zero_copy_only=False)).astype(np.uint64) * tk.MULT) if len(owner) else np.zeros(0, np.uint64)
-                mine = tk.mix(ln.hash + (ln.doc * np.int64(1 << 32) + ln.number).astype(np.uint64) * tk.MULT)
-                drop = np.zeros(len(ln.all_doc), bool)
-                drop[ln.real] = np.isin(mine, gone)
-                had = np.bincount(ln.doc, minlength=len(text))
-                lost = np.bincount(ln.all_doc[drop], minlength=len(text))
-                texts = []
-                edge = np.searchsorted(ln.all_doc, np.arange(len(text) + 1))
-                values = text.to_pylist() if lost.any() else None
-                for d in np.flatnonzero(lost):
-                    keep = np.flatnonzero(~drop[edge[d] : edge[d + 1]]) + edge[d]
-                    texts.append(b"\n".join(raw[ln.all_begin[i] : ln.all_end[i]].tobytes() for i in keep).decode("utf-8", "replace"))
-                if values is not None:
-                    for d, t in zip(np.flatnonzero(lost), texts, strict=True):
-                        values[d] = t
-                    text = pa.array(values, pa.string())
-                stay = pa.array((lost == 0) | (lost < had))
-                cells = []
-                for name in columns:
-                    cell = text if name == "text" else tk.column(part, name)
-                    if name == "n_chars" and lost.any():
-                        cell = pa.array([len(values[d]) if lost[d] and values[d] is not None else x for d, x in enumerate(cell.to_pylist())], cell.type)
-                    cells.append(cell)
-                yield pa.RecordBatch.from_arrays(cells, columns).filter(stay)
-
-    return joined.mapInArrow(run, docs.schema)
+            for kind, block in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if kind:
+                    gone += [x.column(0).to_numpy() for x in ex.unpacked(block)]
+                else:
+                    held.append(block)
+        keys = np.sort(np.concatenate(gone))
+        for block in held:
+            for batch in ex.unpacked(block):
+                for part in tk.chunks(batch, size=CHUNK_BYTES):
+                    yield without(part, keys)
+
+    lost = removed.select("doc_id", "line_no", "line")
+    shared = ex.share(targets, ex.send_tables(docs, targets, 0, rows), ex.send_tables(lost, targets, 1, places_gone))
+    return tk.arrow(shared, run, docs.schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 n = pa.array(count_batch(tk.column(part, "text"), None, vocabulary), pa.int64())
                 yield pa.RecordBatch.from_arrays([tk.column(part, "doc_id").cast(pa.int64()), n], ["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id bigint, n_tokens bigint")
+    return tk.arrow(docs.select("doc_id", "text"), count, "doc_id bigint, n_tokens bigint")
 
 
 def pack_lengths(counted: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -103,7 +103,7 @@ def pack_lengths(counted: DataFrame, window: int = WINDOW, shard_tokens: int = S
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5, names)
 
-    return placed.select("doc_id", "n_tokens", "_shard").mapInArrow(run, SCHEMA)
+    return tk.arrow(placed.select("doc_id", "n_tokens", "_shard"), run, SCHEMA)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
                 cells = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([tk.column(part, "doc_id").cast(pa.int64()), tk.column(part, "_good").cast(pa.int32()), cells], ["doc_id", "good", "x"])
 
-    got = chosen.mapInArrow(measure, "doc_id bigint, good int, x array<double>").toArrow()
+    got = tk.arrow(chosen, measure, "doc_id bigint, good int, x array<double>").toArrow()
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = np.asarray(got["good"].combine_chunks()).astype(float) if got.num_rows else np.zeros(0)
     order = np.lexsort((*x.T[:3], np.asarray(got["doc_id"].combine_chunks()))) if got.num_rows else np.zeros(0, int)
@@ -220,8 +220,8 @@ def score(docs: DataFrame, forest: Forest, columns: list[str] | None = None) ->
                     yield pa.RecordBatch.from_arrays([tk.column(part, "doc_id").cast(pa.int64()), pa.array(s), pa.array(keep)], ["doc_id", "score", "keep"])
 
     if columns:
-        return docs.select(*columns).mapInArrow(run, docs.select(*columns).schema)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, keep boolean")
+        return tk.arrow(docs.select(*columns), run, docs.select(*columns).schema)
+    return tk.arrow(docs.select("doc_id", "text"), run, "doc_id bigint, score double, keep boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ tokenised, hashed and windowed as one array, and document boundaries are kept as
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,11 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15 | 1)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+#: Letters whose lower case takes another number of bytes; they stay as they are. Two bytes long, and three.
+UNEVEN = ("\u0130\u023a\u023e", "\u1e9e\u2126\u212a\u212b\u2c62\u2c64\u2c6d\u2c6e\u2c6f\u2c70\u2c7e\u2c7f\ua78d\ua7aa\ua7ab\ua7ac\ua7ad\ua7ae\ua7b0\ua7b1\ua7b2\ua7c5\ua7cb\ua7dc")
+_CASELESS = ("\u00bf", "\u3007")  # what stands for them meanwhile, of as many bytes
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is run from a source checkout."""
+    """Let Python workers import this package when it is run from a source checkout, and bound Arrow batches by bytes, not by rows alone.
+
+    The bound is a setting of the session (``spark.sql.execution.arrow.maxBytesPerBatch``); one that the session has set stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
@@ -46,6 +56,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that is free back to the system; workers are kept for later tasks, and what they hold counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow of a function that may use this package, memory given back at the end of each task."""
+    ship(df.sparkSession)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser (wraps around)."""
     h = h ^ (h >> U64(33))
@@ -62,14 +97,13 @@ def powers(n: int, base: int = int(MULT)) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _POW.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        size = 1 << (size - 1).bit_length()
+        size = -(-max(n, 1 << 18) // (1 << 18)) << 18
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, U64)
             a[0] = 1
             out.append(np.multiply.accumulate(a))
-        if size <= 1 << 24:
+        if size <= 1 << 22:
             _POW[base] = (out[0], out[1])
         have = (out[0], out[1])
     return have[0][:n], have[1][:n]
@@ -110,16 +144,23 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def lowered(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """utf8() with lower case, byte positions unchanged.
 
-    A text whose lower case takes another number of bytes is lowered in ASCII only.
+    Character by character, whatever else the text holds; the letters of ``UNEVEN`` keep their case.
     """
     arr = as_array(arr)
     if arr.null_count:
         arr = pc.fill_null(arr, "")
-    low = pc.utf8_lower(arr)
-    same = pc.equal(pc.binary_length(arr), pc.binary_length(low))
-    if not pc.all(same).as_py() and len(arr):
-        low = pc.if_else(same, low, pc.ascii_lower(arr))
-    return utf8(low)
+    raw, off = utf8(arr)
+    if not len(raw) or raw.max() < 128:
+        return utf8(pc.utf8_lower(arr))
+    plain = arr
+    for letters, caseless in zip(UNEVEN, _CASELESS, strict=True):
+        if pc.any(pc.match_substring_regex(plain, f"[{letters}]")).as_py():
+            plain = pc.replace_substring_regex(plain, f"[{letters}]", caseless)
+    low, low_off = utf8(pc.utf8_lower(plain))
+    if plain is not arr:
+        covered = utf8(plain)[0] != raw
+        low = np.where(covered, raw, low)
+    return low, low_off
 
 
 @lru_cache(maxsize=1)

@@ -237,11 +237,11 @@ def frequent(docs: DataFrame, vocabulary: str = VOCABULARY) -> Table:
         if held:
             yield pa.RecordBatch.from_pydict({"blob": [_merge(held, TABLE_SIZE)]}, pa.schema([("blob", pa.binary())]))
 
-    found = docs.select("text").mapInArrow(summarise, "blob binary")
+    found = tk.arrow(docs.select("text"), summarise, "blob binary")
     tasks = docs.rdd.getNumPartitions()
     while tasks > FAN_IN:
         tasks = -(-tasks // FAN_IN)
-        found = found.repartition(tasks).mapInArrow(combine, "blob binary")
+        found = tk.arrow(found.repartition(tasks), combine, "blob binary")
     blobs = [bytes(r.blob) for r in found.collect()]  # at most FAN_IN summaries of fixed size
     keys, _, lens = _unpack(_merge(blobs, TABLE_SIZE))
     return Table(keys, lens.astype(np.int64))
@@ -261,4 +261,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 n = pc.if_else(pc.is_valid(text), n, pa.scalar(None, pa.int64()))
                 yield pa.RecordBatch.from_arrays([tk.column(part, "doc_id").cast(pa.int64()), n], ["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id bigint, n_tokens bigint")
+    return tk.arrow(docs.select("doc_id", "text"), count, "doc_id bigint, n_tokens bigint")
