@@ -7,25 +7,30 @@ Burrows-Wheeler transform in a wavelet matrix, every ``SAMPLE``-th suffix positi
 searched backward at once by wavelet ranks, what is found is located by walking to the next sampled
 position, and overlapping or adjoining occurrences are merged into spans.
 
-A word that no benchmark item has can be in no occurrence: it ends a run, and runs shorter than the
-shortest phrase are left out of the index. This loses no occurrence.
+All words of a shard are indexed; one that no benchmark item has can be in no occurrence and stands as a
+separator, as the ends of documents do.
 
 Defined results: a row (doc_id, start_word, n_words, item_id) per span of each input row, words
 counted from 0, with the smallest item_id of its phrases. Null and empty texts have no spans.
 Repeated rows give repeated spans, a null doc_id is kept, null items and those of under
-``SHORTEST`` words are ignored, as are other columns. A benchmark of more than ``PASS_WORDS``
-words is searched for in several passes, so that what is broadcast is bounded.
+``SHORTEST`` words are ignored, as are other columns. Case is folded as in ``textkit.lowered``. A benchmark of
+more than ``PASS_WORDS`` words is searched for in several passes over the original texts, so that what a
+worker holds is bounded; spans are merged, by input row, and cut once behind the last pass, so the results don't depend on
+the number of passes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordmill.llm import textkit as tk
 
@@ -61,7 +66,7 @@ def phrases(items: pa.Array, ids: np.ndarray) -> Phrases:
         order = np.lexsort((item, *rows.T[::-1]))
         rows, item = rows[order], item[order]
         new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
-        tables.append((rows[new], item[new]))
+        tables.append((rows[new].astype(np.int32), item[new]))
     return Phrases(vocabulary, tables)
 
 
@@ -139,7 +144,7 @@ class Index:
         which = np.arange(len(table))
         lo, hi = np.zeros(len(table), np.int64), np.full(len(table), self.n, np.int64)
         for j in reversed(range(table.shape[1])):
-            c = table[which, j]
+            c = table[which, j].astype(np.int64)
             lo, hi = self.below[c] + self.wavelet.rank(c, lo), self.below[c] + self.wavelet.rank(c, hi)
             some = lo < hi
             which, lo, hi = which[some], lo[some], hi[some]
@@ -158,28 +163,34 @@ class Index:
         return out
 
 
-def spans(arr: pa.Array, ph: Phrases) -> tuple[tk.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, document, first word, end word, item) of the merged spans of a shard, words counted through the shard."""
-    w = tk.Words(arr)
-    none = np.zeros(0, np.int64)
+NO_SPANS = np.zeros((4, 0), np.int64)
+
+
+def merged(found: np.ndarray) -> np.ndarray:
+    """Spans, rows (document, first word, end word, item), with those of a document that overlap or adjoin made one."""
+    if not found.shape[1]:
+        return found
+    d, a, b, item = found[:, np.lexsort((found[2], found[1], found[0]))]
+    _, number = np.unique(d, return_inverse=True)
+    base = number.astype(np.int64) << 40
+    first = np.flatnonzero(np.append(True, (base + a)[1:] > np.maximum.accumulate(base + b)[:-1]))
+    return np.stack([d[first], a[first], np.maximum.reduceat(b, first), np.minimum.reduceat(item, first)])
+
+
+def spans(w: tk.Words, ph: Phrases) -> np.ndarray:
+    """The merged spans of a shard, words counted by document."""
     if not ph.tables or not len(w.start):
-        return w, none, none, none, none
+        return NO_SPANS
     at = np.minimum(np.searchsorted(ph.vocabulary, w.hash), len(ph.vocabulary) - 1)
-    known = ph.vocabulary[at] == w.hash
-    doc = w.doc()
-    head = known & np.append(True, ~known[:-1] | (doc[1:] != doc[:-1]))
-    tail = known & np.append(~known[1:] | (doc[1:] != doc[:-1]), True)
-    begin, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    long = end - begin >= ph.shortest
-    begin, end = begin[long], end[long]
-    if not len(begin):
-        return w, none, none, none, none
-    size = end - begin
-    word = tk.ranges(begin, size + 1)  # one more for the separator
+    code = np.where(ph.vocabulary[at] == w.hash, at + 1, 0)
+    if not code.any():
+        return NO_SPANS
+    size = np.diff(w.first)
+    word = tk.ranges(w.first[:-1], size + 1)  # one more for the separator behind each document
     text = np.zeros(len(word), np.int64)
     inside = np.ones(len(word), bool)
     inside[np.cumsum(size + 1) - 1] = False
-    text[inside] = at[word[inside]] + 1
+    text[inside] = code
     index = Index(text, len(ph.vocabulary))
     found = []
     for table, items in ph.tables:
@@ -188,15 +199,10 @@ def spans(arr: pa.Array, ph: Phrases) -> tuple[tk.Words, np.ndarray, np.ndarray,
             place = word[index.locate(tk.ranges(lo, hi - lo))]
             found.append(np.stack([place, place + table.shape[1], np.repeat(items[which], hi - lo)]))
     if not found:
-        return w, none, none, none, none
+        return NO_SPANS
     a, b, item = np.concatenate(found, axis=1)
-    order = np.lexsort((b, a))
-    a, b, item = a[order], b[order], item[order]
-    d = doc[a]
-    # Phrases lie within documents, so the furthest end so far decides.
-    new = np.append(True, (a[1:] > np.maximum.accumulate(b)[:-1]) | (d[1:] != d[:-1]))
-    first = np.flatnonzero(new)
-    return w, d[first], a[first], np.maximum.reduceat(b, first), np.minimum.reduceat(item, first)
+    d = w.doc()[a]
+    return merged(np.stack([d, a - w.first[d], b - w.first[d], item]))
 
 
 def benchmark_passes(benchmark: DataFrame, limit: int = PASS_WORDS) -> Iterator[Phrases]:
@@ -210,80 +216,97 @@ def benchmark_passes(benchmark: DataFrame, limit: int = PASS_WORDS) -> Iterator[
         yield phrases(tk.as_array(part["text"]) if part.num_rows else pa.array([], pa.string()), ids)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = PASS_WORDS) -> DataFrame:
-    """(doc_id, start_word, n_words, item_id) of benchmark spans in docs(doc_id, text)."""
-    spark = docs.sparkSession
-    tk.ship(spark)
-    out = []
-    for ph in benchmark_passes(benchmark, limit):
-        shared = spark.sparkContext.broadcast(ph)
+def searched(docs: DataFrame, benchmark: DataFrame, limit: int, finish: Callable[[pa.RecordBatch, tk.Words, np.ndarray], pa.RecordBatch], schema) -> DataFrame:
+    """``finish`` of every shard of docs, given its words and the spans that all passes found in its original texts.
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    Each pass goes over the rows as they flow by and hands its spans on in a column beside them; nothing is shuffled.
+    """
+    spark = docs.sparkSession
+    carried = "_spans"
+    while carried in docs.columns:
+        carried += "_"
+    passes = [spark.sparkContext.broadcast(ph) for ph in benchmark_passes(benchmark, limit)]
+    names = docs.columns
+    for k, shared in enumerate(passes):
+        last = k == len(passes) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in tk.chunks(batch, size=SHARD_BYTES):
-                    w, d, a, b, item = spans(tk.column(part, "text"), shared.value)
-                    ids = tk.column(part, "doc_id").cast(pa.int64()).take(pa.array(d))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(a - w.first[d]), pa.array(b - a), pa.array(item)], ["doc_id", "start_word", "n_words", "item_id"])
-
-        out.append(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start_word bigint, n_words bigint, item_id bigint"))
-    if len(out) == 1:
-        return out[0]
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    by = Window.partitionBy("doc_id").orderBy("start_word", "n_words")
-    reach = F.max(F.col("start_word") + F.col("n_words")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(reach >= F.col("start_word"), 0).otherwise(1)).over(by)
-    end = F.max(F.col("start_word") + F.col("n_words"))
-    merged = every.withColumn("_island", island).groupBy("doc_id", "_island").agg(F.min("start_word").alias("start_word"), end.alias("_end"), F.min("item_id").alias("item_id"))
-    return merged.select("doc_id", "start_word", (F.col("_end") - F.col("start_word")).alias("n_words"), "item_id")
+                    w = tk.Words(tk.column(part, "text"))
+                    found = [spans(w, shared.value)]
+                    if k:
+                        for d, cell in enumerate(tk.column(part, carried)):
+                            got = np.frombuffer(cell.as_buffer(), np.int64).reshape(3, -1)
+                            found.append(np.concatenate([np.full((1, got.shape[1]), d), got]))
+                        part = part.select(names)
+                    every = merged(np.concatenate(found, axis=1))
+                    if last:
+                        yield finish(part, w, every)
+                    else:
+                        edge = np.searchsorted(every[0], np.arange(part.num_rows + 1))
+                        cells = pa.array([every[1:, a:b].tobytes() for a, b in itertools.pairwise(edge.tolist())], pa.binary())
+                        yield pa.RecordBatch.from_arrays([*part.columns, cells], [*names, carried])
+
+        docs = tk.arrow(docs, run, schema if last else T.StructType([*docs.schema.fields[: len(names)], T.StructField(carried, T.BinaryType())]))
+    return docs
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, limit: int = PASS_WORDS) -> DataFrame:
-    """docs with the spans cut from their texts; a document of which no word is left goes."""
-    spark = docs.sparkSession
-    tk.ship(spark)
-    schema, columns = docs.schema, docs.columns
-    for ph in benchmark_passes(benchmark, limit):
-        shared = spark.sparkContext.broadcast(ph)
+def contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = PASS_WORDS) -> DataFrame:
+    """(doc_id, start_word, n_words, item_id) of benchmark spans in docs(doc_id, text)."""
+
+    def finish(part: pa.RecordBatch, w: tk.Words, found: np.ndarray) -> pa.RecordBatch:
+        d, a, b, item = found
+        ids = tk.column(part, "doc_id").cast(pa.int64()).take(pa.array(d))
+        return pa.RecordBatch.from_arrays([ids, pa.array(a), pa.array(b - a), pa.array(item)], ["doc_id", "start_word", "n_words", "item_id"])
+
+    return searched(docs.select("doc_id", "text"), benchmark, limit, finish, "doc_id bigint, start_word bigint, n_words bigint, item_id bigint")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in tk.chunks(batch, size=SHARD_BYTES):
-                    text = tk.column(part, "text")
-                    w, d, a, b, _ = spans(text, shared.value)
-                    if not len(d):
-                        yield part
-                        continue
-                    raw, off = tk.utf8(text)
-                    values = text.to_pylist()
-                    for x in np.unique(d):
-                        mine = d == x
-                        cuts = np.stack([np.append(off[x], w.end[b[mine] - 1]), np.append(w.start[a[mine]], off[x + 1])])
-                        values[x] = b"".join(raw[s:e].tobytes() for s, e in cuts.T).decode("utf-8", "replace")
-                    left = np.diff(w.first) - np.bincount(d, b - a, len(values))
-                    hit = np.bincount(d, minlength=len(values)) > 0
-                    cells = []
-                    for name in columns:
-                        cell = pa.array(values, pa.string()) if name == "text" else tk.column(part, name)
-                        if name == "n_chars":
-                            cell = pa.array([len(values[i]) if hit[i] else n for i, n in enumerate(cell.to_pylist())], cell.type)
-                        cells.append(cell)
-                    yield pa.RecordBatch.from_arrays(cells, columns).filter(pa.array(~hit | (left > 0)))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, limit: int = PASS_WORDS) -> DataFrame:
+    """docs with the spans cut from their texts; a document of which no word is left goes."""
 
+    def finish(part: pa.RecordBatch, w: tk.Words, found: np.ndarray) -> pa.RecordBatch:
+        d, a, b, _ = found
+        if not len(d):
+            return part
+        text = tk.as_array(tk.column(part, "text"))
+        raw, off = tk.utf8(text)
+        docs = len(text)
+        # What stays of a document: from its begin or a span's end to the next span's begin or its end.
+        doc = np.concatenate([np.arange(docs), d])
+        begin = np.concatenate([off[:-1], w.end[w.first[d] + b - 1]])
+        order = np.lexsort((begin, doc))
+        stop = np.concatenate([off[1:], w.start[w.first[d] + a]])
+        stop = stop[np.lexsort((stop, doc))]
+        begin, doc = begin[order], doc[order]
+        size = stop - begin
+        ends = np.append(0, np.cumsum(np.bincount(doc, size, docs))).astype(np.int32)
+        valid = pa.array(pc.is_valid(text).to_numpy(zero_copy_only=False)).buffers()[1] if text.null_count else None
+        new = pa.Array.from_buffers(pa.string(), docs, [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[tk.ranges(begin, size)].tobytes())])
+        hit = np.bincount(d, minlength=docs) > 0
+        left = np.diff(w.first) - np.bincount(d, b - a, docs)
+        cells = list(part.columns)
+        cells[part.schema.get_field_index("text")] = new
+        n = part.schema.get_field_index("n_chars")
+        if n >= 0 and pa.types.is_integer(cells[n].type):
+            cells[n] = pc.if_else(pa.array(hit), pc.utf8_length(new).cast(cells[n].type), cells[n])
+        return pa.RecordBatch.from_arrays(cells, part.schema.names).filter(pa.array(~hit | (left > 0)))
+
+    return searched(docs, benchmark, limit, finish, docs.schema)
+
+
+_UNEVEN = "".join(tk.UNEVEN)
+_LOWER = f"lower(translate({{0}}, '{_UNEVEN}', '{''.join(chr(0xE000 + i) for i in range(len(_UNEVEN)))}'))"  # private letters have no case
 _WORDS = r"'[0-9a-z\x{C0}-\x{1FFF}\x{2040}-\x{2FFF}\x{3040}-\x{10FFFF}]+'"
 
 ORACLE = f"""
-WITH item AS (SELECT item_id, regexp_extract_all(lower(text), {_WORDS}) AS w FROM benchmark WHERE text IS NOT NULL),
+WITH item AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, {_WORDS}) AS w FROM benchmark WHERE text IS NOT NULL),
 phrase AS (
   SELECT array_to_string(w[i:i + least(len(w), {PHRASE}) - 1], ' ') AS p, least(len(w), {PHRASE}) AS n, min(item_id) AS item_id
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), {PHRASE}) + 2)) AS i FROM item WHERE len(w) >= {SHORTEST})
   GROUP BY ALL),
-doc AS (SELECT doc_id, regexp_extract_all(lower(text), {_WORDS}) AS w FROM documents WHERE text IS NOT NULL),
+doc AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, {_WORDS}) AS w FROM documents WHERE text IS NOT NULL),
 gram AS (
   SELECT doc_id, i - 1 AS a, i - 1 + n AS b, array_to_string(w[i:i + n - 1], ' ') AS p
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM phrase) WHERE len(w) >= n)),
