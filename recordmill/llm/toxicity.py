@@ -3,7 +3,7 @@
 A character 4-gram language model is counted over all documents (letters case-folded, accents and
 look-alikes folded away). Chunks that look obfuscated - leetspeak, letters spaced out or joined by
 punctuation, letters repeated - become lattices of what each character may stand for, which a Viterbi
-search under the language model and channel costs decodes; rows of spaced letters may hold several words. Words of the text and the restored ones are
+search under the language model and channel costs decodes (of the states at each character, the ``BEAM`` likeliest go on); rows of spaced letters may hold several words. Words of the text and the restored ones are
 scored by a lexicon of words and word beginnings, weighted by log odds, which is fitted on at most
 ``TRAIN_ROWS`` labelled documents (those of the smallest hashes of doc_id).
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -148,11 +149,11 @@ def language_model(docs: DataFrame) -> np.ndarray:
                 total += np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
         yield pa.RecordBatch.from_pydict({"blob": [zlib.compress(total.tobytes(), 1)]}, pa.schema([("blob", pa.binary())]))
 
-    found = docs.select("text").mapInArrow(count, "blob binary")
+    found = tk.arrow(docs.select("text"), count, "blob binary")
     tasks = docs.rdd.getNumPartitions()
     while tasks > FAN_IN:
         tasks = -(-tasks // FAN_IN)
-        found = found.repartition(tasks).mapInArrow(combine, "blob binary")
+        found = tk.arrow(found.repartition(tasks), combine, "blob binary")
     total = np.zeros(ORDER, np.int64)
     for r in found.collect():  # FAN_IN arrays of fixed size at most
         total += np.frombuffer(zlib.decompress(bytes(r.blob)), np.int64)
@@ -322,12 +323,21 @@ def decode(chunk: str, lm: np.ndarray, beam: int = BEAM) -> list[tuple[float, tu
     return sorted(out, reverse=True)
 
 
-_SEEN: dict[str, tuple[bool, dict[int, float]]] = {}
+Seen = dict[str, tuple[bool, dict[int, float]]]
+_SEEN: dict[str, Seen] = {}
 
 
-def restored(chunk: str, lm: np.ndarray, lexicon: Lexicon) -> tuple[bool, dict[int, float]]:
-    """(whether the best reading isn't the chunk's own letters, entries of the best readings); cached by worker."""
-    found = _SEEN.get(chunk)
+def seen_by(model: str) -> Seen:
+    """What a worker has decoded with a model; of other models it forgets it."""
+    if model not in _SEEN:
+        _SEEN.clear()
+        _SEEN[model] = {}
+    return _SEEN[model]
+
+
+def restored(chunk: str, lm: np.ndarray, lexicon: Lexicon, seen: Seen) -> tuple[bool, dict[int, float]]:
+    """(whether the best reading isn't the chunk's own letters, entries of the best readings)."""
+    found = seen.get(chunk)
     if found is None:
         readings = decode(chunk, lm)
         hits: dict[int, float] = {}
@@ -345,14 +355,15 @@ def restored(chunk: str, lm: np.ndarray, lexicon: Lexicon) -> tuple[bool, dict[i
                 hits = {}
             changed = bool(hits)
         found = (changed, hits)
-        if len(_SEEN) > 200_000:
-            _SEEN.clear()
-        _SEEN[chunk] = found
+        if len(seen) > 200_000:
+            seen.clear()
+        seen[chunk] = found
     return found
 
 
-def score_batch(arr: pa.Array, lm: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """(score, chunks restored) by text."""
+def score_batch(arr: pa.Array, lm: np.ndarray, lexicon: Lexicon, seen: Seen | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(score, chunks restored) by text; ``seen`` keeps what the same model has decoded."""
+    seen = {} if seen is None else seen
     f = Folded(arr)
     docs = len(f.off) - 1
     values = symbol_values()[f.kind]
@@ -379,7 +390,7 @@ def score_batch(arr: pa.Array, lm: np.ndarray, lexicon: Lexicon) -> tuple[np.nda
     owner = f.doc(a)
     reach = 0  # spans of one chunk count once
     for d, x, y in zip(owner.tolist(), a.tolist(), b.tolist(), strict=True):
-        changed, hits = restored(f.cp[x:y].tobytes().decode("utf-32-le", "surrogatepass"), lm, lexicon)
+        changed, hits = restored(f.cp[x:y].tobytes().decode("utf-32-le", "surrogatepass"), lm, lexicon, seen)
         if changed and x >= reach:
             count[d] += 1
             reach = y
@@ -438,7 +449,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad:
         return Lexicon({}, {})
-    stats = chosen.mapInArrow(measure, "word string, bad bigint, clean bigint").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
+    stats = tk.arrow(chosen, measure, "word string, bad bigint, clean bigint").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
     stats = tk.checkpoint(stats)
     few = F.col("clean") <= CLEAN * F.col("bad")
     starts = F.explode(F.array(*map(F.lit, PREFIXES))).alias("n")
@@ -482,7 +493,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon
 
     by: dict[int, set[str]] = {}
     explained: set[int] = set()
-    for r in chosen.filter("_toxic = 1").select("doc_id", "text").mapInArrow(meet, "doc_id bigint, word string, family boolean").collect():
+    for r in tk.arrow(chosen.filter("_toxic = 1").select("doc_id", "text"), meet, "doc_id bigint, word string, family boolean").collect():
         by.setdefault(r.doc_id, set()).add(r.word)
         if r.family:
             explained.add(r.doc_id)
@@ -516,11 +527,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tk.ship(spark)
     model = spark.sparkContext.broadcast((language_model(docs), train(docs, labels)))
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.chunks(batch):
-                score, count = score_batch(tk.column(part, "text"), *model.value)
+                score, count = score_batch(tk.column(part, "text"), *model.value, seen_by(name))
                 yield pa.RecordBatch.from_arrays([tk.column(part, "doc_id").cast(pa.int64()), pa.array(score), pa.array(score >= THRESHOLD), pa.array(count)], ["doc_id", "score", "toxic", "restored"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, toxic boolean, restored bigint")
+    return tk.arrow(docs.select("doc_id", "text"), run, "doc_id bigint, score double, toxic boolean, restored bigint")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +62,7 @@ def test_suspicious_spans():
 def hits(s, words, lm):
     """Which of the words are found in a text."""
     lexicon = tx.Lexicon({tx.key_of(tx.symbols(w)): 4.0 for w in words}, {})
-    tx._SEEN.clear()
     score, _ = tx.score_batch(pa.array([s]), lm, lexicon)
-    tx._SEEN.clear()
     return score[0] / 4.0
 
 
@@ -118,3 +117,119 @@ def test_no_labels_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
     assert [r.toxic for r in tx.toxicity(docs, none).collect()] == [False]
     assert tx.toxicity(docs.limit(0), none).collect() == []
+
+
+def plain_words(t):
+    """Distinct folded words of three letters and more, in plain Python."""
+    out, word = set(), ""
+    for c in (t or "") + " ":
+        kind = int(tx.fold_table()[ord(c)])
+        if kind <= 27:
+            word += "?" if kind == 27 else chr(96 + kind)
+        else:
+            out |= {word} if len(word) >= 3 else set()
+            word = ""
+    return out
+
+
+def plain_lexicon(rows, toxic):
+    """The lexicon as {entry: weight}, prefixes as entries with a star, by loops over dicts."""
+    docs = [(i, plain_words(t)) for i, t in rows if i in toxic and t is not None]
+    bad, good = (sum(toxic[i] == x for i, _ in docs) for x in (1, 0))
+    tally = {}
+    for i, words in docs:
+        for w in words:
+            n = tally.setdefault(w, [0, 0])
+            n[1 - toxic[i]] += 1
+    few = lambda n: n[1] <= tx.CLEAN * n[0]
+    family = {}
+    for n in tx.PREFIXES:
+        begun = {}
+        for w, c in tally.items():
+            if len(w) > n:
+                begun.setdefault(w[:n], []).append(c)
+        for p, counts in begun.items():
+            only = [c for c in counts if c[1] == 0]
+            total = [sum(c[k] for c in counts) for k in (0, 1)]
+            if len(only) >= tx.FAMILY_WORDS and sum(c[0] for c in only) >= max(tx.FAMILY_DOCS, 0.002 * bad) and few(total):
+                family[p] = total
+    prefix = {}
+    for p in sorted(family, key=lambda x: (len(x), x)):
+        if any(p.startswith(q) and family[p][0] < 0.98 * prefix[q][0] for q in prefix):
+            continue
+        prefix = {q: v for q, v in prefix.items() if not p.startswith(q)} | {p: family[p]}
+    count = {w: c for w, c in tally.items() if few(c) and c[0] >= tx.LEAST and not any(w.startswith(p) for p in prefix)}
+    chosen = {w for w, c in count.items() if c[0] >= tx.SHARE * bad}
+    left = [{w for w in words if w in count} for i, words in docs if toxic[i] and not any(w.startswith(p) for w in words for p in prefix)]
+    left = [w for w in left if not w & chosen]
+    while True:
+        support = {}
+        for w in left:
+            for x in w:
+                support[x] = support.get(x, 0) + 1
+        top = max(support, key=lambda x: (support[x], x), default=None)
+        if top is None or support[top] < max(tx.LEAST, 0.005 * bad):
+            break
+        chosen.add(top)
+        left = [w for w in left if top not in w]
+    weight = lambda n: math.log((n[0] + 0.5) / (bad + 1)) - math.log((n[1] + 0.5) / (good + 1))
+    out = {w: weight(count[w]) for w in chosen} | {p + "*": weight(n) for p, n in prefix.items()}
+    return {k: v for k, v in out.items() if v > 0}
+
+
+def labelled(seed):
+    rng = np.random.default_rng(seed)
+    calm = ["river", "stone", "under", "light", "quiet", "paper", "tooth", "été", "日本語"]
+    family = ["vexa" + "".join(rng.choice(list("bdfgklmnprst"), 3)) for _ in range(14)]
+    rare = ["grotz", "blimf", "skarn"]
+    rows, toxic = [], {}
+    for i in range(700):
+        w = rng.choice(calm, 12).tolist()
+        kind = rng.integers(0, 8)
+        if kind == 0:
+            w += rng.choice(["idiot", "clown", "moron"], 2).tolist()
+        elif kind == 1:
+            w += rng.choice(family, 2).tolist()
+        elif kind == 2 and i % 3 == 0:
+            w.append(rare[i % 9 // 3])
+        toxic[i] = int(kind < 2 or (kind == 2 and i % 3 == 0))
+        rows.append((i, " ".join(w)))
+    rows += [(701, None), (702, "vexation"), (703, "")]
+    return rows, toxic | {701: 1, 702: 0, 703: 1}
+
+
+def test_training_equals_plain_counts(spark):
+    for seed in (1, 2):
+        rows, toxic = labelled(seed)
+        want = plain_lexicon(rows, toxic)
+        assert any(k.endswith("*") for k in want) and len(want) >= 4
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        got = tx.train(docs, spark.createDataFrame([(i, t) for i, t in toxic.items()], "doc_id bigint, toxic int"))
+        key = lambda w: tx.key_of(tx.symbols(w.replace("?", "日")))
+        assert got.words == {key(w): v for w, v in want.items() if not w.endswith("*")}
+        prefixes = {}
+        for w, v in want.items():
+            if w.endswith("*"):
+                prefixes.setdefault(len(w) - 1, {})[key(w[:-1])] = v
+        assert got.prefixes == prefixes
+
+
+def test_a_second_model_in_the_same_session_is_its_own(spark):
+    rows, toxic = labelled(3)
+    docs = spark.createDataFrame([*rows, (900, "1d10t m0r0n"), (901, "r1v3r st0n3")], "doc_id bigint, text string").repartition(1)
+    score = lambda labels: {r.doc_id: r.score for r in tx.toxicity(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
+    one = [(i, t) for i, t in toxic.items()]
+    other = [(i, int("river" in (t or ""))) for i, t in rows]
+    first, empty, second, again = score(one), score([(1, 0)]), score(other), score(one)
+    assert first[900] > 3 and empty[900] == 0 and empty[901] == 0 and first == again and second[901] != first[901]
+
+
+def test_scores_equal_plain_sums(spark):
+    """Without obfuscated chunks a score is the sum of the weights of the entries that a text has."""
+    rows, toxic = labelled(4)
+    want = plain_lexicon(rows, toxic)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in tx.toxicity(docs, spark.createDataFrame([(i, t) for i, t in toxic.items()], "doc_id bigint, toxic int")).collect():
+        words = plain_words(dict(rows)[r.doc_id])
+        total = sum(v for k, v in want.items() if (k[-1] != "*" and k in words) or (k[-1] == "*" and any(w.startswith(k[:-1]) for w in words)))
+        assert abs(r.score - total) < 1e-9 and r.toxic == (total >= tx.THRESHOLD)
