@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,26 +78,26 @@ def compress(df: DataFrame, strategy: str = "completed_sequences", keep_priority
 # -- chunks ---------------------------------------------------------------------------------
 
 
-def _match(state: Column, r: Column) -> Column:
-    """Fold step over (pos, type) of one id: pairs each result with the oldest waiting tool."""
-    waiting, pairs = state["waiting"], state["pairs"]
-    is_tool = r["type"] == "tool"
-    takes = ~is_tool & (F.size(waiting) > 0)
-    unit = F.when(takes, F.try_element_at(waiting, F.lit(1))).otherwise(r["pos"])
-    return F.struct(
-        F.when(is_tool, F.concat(waiting, F.array(r["pos"]))).when(takes, F.slice(waiting, 2, F.greatest(F.size(waiting) - 1, F.lit(0)))).otherwise(waiting).alias("waiting"),
-        F.concat(pairs, F.array(F.struct(r["pos"].alias("pos"), unit.alias("unit")))).alias("pairs"),
-    )
-
-
 def units(df: DataFrame, meta: tuple[str, ...] = ()) -> DataFrame:
-    """(payload_id, pos, unit, tokens): the atomic unit of each record, named by the position of its first one: a result goes with the oldest tool of its id that is waiting."""
+    """(payload_id, pos, unit, tokens): the atomic unit of each record, named by the position of its first one: a result goes with the oldest tool of its id that is waiting.
+
+    Of the results up to a row, those in excess of the tools before them at their worst found none waiting; the k-th of the others
+    goes with the k-th tool. So running counts by payload and id do, without lists.
+    """
     lines = df.select("payload_id", "pos", "type", "id", estimate_tokens(encode_row(meta)).alias("tokens"))
-    empty = F.struct(F.array().cast("array<bigint>").alias("waiting"), F.array().cast("array<struct<pos bigint, unit bigint>>").alias("pairs"))
-    calls = lines.filter("type in ('tool', 'res')").groupBy("payload_id", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "tokens"))).alias("_r"))
-    calls = calls.select("payload_id", F.col("_r"), F.aggregate("_r", empty, _match)["pairs"].alias("_p"))
-    paired = calls.select("payload_id", F.inline(F.arrays_zip("_r", "_p"))).select("payload_id", "_p.pos", "_p.unit", "_r.tokens")
-    return lines.filter("type not in ('tool', 'res')").select("payload_id", "pos", F.col("pos").alias("unit"), "tokens").unionByName(paired)
+    call = F.col("type").isin("tool", "res")
+    # Other records are alone in their windows.
+    own = (F.when(call, F.lit(-1).cast("bigint")).otherwise(F.col("pos"))).alias("_own")
+    lines = lines.select("*", own)
+    so_far = Window.partitionBy("payload_id", "id", "_own").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda kind: F.sum(F.when(F.col("type") == kind, 1).otherwise(0)).over(so_far)
+    lines = lines.withColumn("_tools", count("tool")).withColumn("_results", count("res"))
+    lines = lines.withColumn("_lost", F.greatest(F.lit(0), F.max(F.col("_results") - F.col("_tools")).over(so_far)))
+    before = F.coalesce(F.lag("_lost").over(Window.partitionBy("payload_id", "id", "_own").orderBy("pos")), F.lit(0))
+    lone = (F.col("type") == "res") & (F.col("_lost") > before)
+    lines = lines.withColumn("_k", F.when(F.col("type") == "tool", F.col("_tools")).when((F.col("type") == "res") & ~lone, F.col("_results") - F.col("_lost")).otherwise(-F.col("pos")))
+    first = F.min("pos").over(Window.partitionBy("payload_id", "id", "_own", "_k"))
+    return lines.select("payload_id", "pos", first.alias("unit"), "tokens")
 
 
 def header_tokens(token_budget: int, thread_id: str = "", magic: str = schema.MAGIC) -> int:
@@ -102,28 +105,38 @@ def header_tokens(token_budget: int, thread_id: str = "", magic: str = schema.MA
 
 
 def chunks(df: DataFrame, token_budget: int, overlap: int = 0, meta: tuple[str, ...] = (), magic: str = schema.MAGIC) -> DataFrame:
-    """(payload_id, chunk_no, unit_no, unit, tokens, n_records): units in order, filled into chunks greedily; ``overlap`` units are repeated in the next chunk."""
+    """(payload_id, chunk_no, unit_no, unit, tokens, n_records): units in order, filled into chunks greedily; ``overlap`` units are repeated in the next chunk.
+
+    Units come sorted by payload, and a task keeps no more of them than one batch and the overlap, however many a payload has.
+    """
     budget = max(10, token_budget - header_tokens(token_budget, "", magic))
     cost = units(df, meta).groupBy("payload_id", "unit").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.count("*").alias("n"))
-    lists = cost.groupBy("payload_id").agg(F.array_sort(F.collect_list(F.struct("unit", "tokens", "n"))).alias("_u"))
-    # The accumulator keeps where chunks begin, not their contents: [first unit, first new unit).
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("first"), F.lit(0).cast("bigint").alias("used"), F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("new"))).alias("cuts"))
-
-    def step(a: Column, u: Column) -> Column:
-        full = (a["i"] > a["first"]) & (a["used"] + u["tokens"] > budget)
-        back = F.greatest(a["first"], a["i"] - overlap) if overlap else a["i"]
-        repeated = F.aggregate(F.slice(F.col("_u"), back + 1, F.greatest(a["i"] - back, F.lit(0))), F.lit(0).cast("bigint"), lambda s, x: s + x["tokens"]) if overlap else F.lit(0).cast("bigint")
-        return F.struct(
-            (a["i"] + 1).alias("i"), F.when(full, back).otherwise(a["first"]).alias("first"), (F.when(full, repeated).otherwise(a["used"]) + u["tokens"]).alias("used"),
-            F.when(full, F.concat(a["cuts"], F.array(F.struct(back.alias("first"), a["i"].alias("new"))))).otherwise(a["cuts"]).alias("cuts"),
-        )
-
-    # Generated once, as several columns read it.
-    cut = lists.select("payload_id", "_u", F.explode(F.array(F.aggregate("_u", start, step)["cuts"])).alias("_c"))
-    each = cut.select("payload_id", "_u", "_c", F.posexplode("_c").alias("chunk_no", "_cut"))
-    end = F.coalesce(F.try_element_at("_c", F.col("chunk_no") + 2)["new"], F.size("_u"))
-    each = each.select("payload_id", (F.col("chunk_no") + 1).cast("bigint").alias("chunk_no"), F.posexplode(F.slice("_u", F.col("_cut.first") + 1, end - F.col("_cut.first"))).alias("unit_no", "_x"))
-    return each.select("payload_id", "chunk_no", (F.col("unit_no") + 1).cast("bigint").alias("unit_no"), "_x.unit", "_x.tokens", F.col("_x.n").alias("n_records"))
+    # The window brings each payload's units to one partition, in order.
+    cost = cost.withColumn("i", F.row_number().over(Window.partitionBy("payload_id").orderBy("unit"))).select("payload_id", "unit", "tokens", "n", "i")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, used = 0, 0, 0  # number, units and tokens of the open chunk
+        tail: list[tuple] = []  # the last units, for the overlap
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                payload, unit, tokens, n, i = row
+                if i == 1:
+                    chunk, held, used, tail = 1, 0, 0, []
+                elif held and used + tokens > budget:
+                    again = tail[max(0, len(tail) - min(overlap, held)) :] if overlap else []
+                    chunk, held, used = chunk + 1, 0, 0
+                    for u, t, m in again:
+                        held, used = held + 1, used + t
+                        out.append((payload, chunk, held, u, t, m))
+                held, used = held + 1, used + tokens
+                out.append((payload, chunk, held, unit, tokens, n))
+                if overlap:
+                    tail = [*tail, (unit, tokens, n)][-overlap:]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["payload_id", "chunk_no", "unit_no", "unit", "tokens", "n_records"])
+
+    return cost.mapInArrow(fill, "payload_id string, chunk_no bigint, unit_no bigint, unit bigint, tokens bigint, n_records bigint")
 
 
 def chunk_records(df: DataFrame, token_budget: int, overlap: int = 0, meta: tuple[str, ...] = (), resort: bool = False) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordmill import schema
-from recordmill.functions.scalar import encode_row, estimate_tokens
+from recordmill.functions.scalar import encode_row
+from recordmill.sources import store
 
 KEPT_TYPES = ("msg", "err", "mem")
 LOWEST = 3
@@ -49,10 +50,25 @@ def sliding_window(df: DataFrame, size: int = 0) -> DataFrame:
     ranked = df.withColumn("_n", F.count("*").over(payload)).withColumn("_rank", F.row_number().over(payload.orderBy("pos")))
     window = F.lit(size) if size else F.greatest(F.lit(10), F.floor(F.col("_n") / 4))
     ranked = ranked.withColumn("_old", F.col("_rank") <= F.col("_n") - window)
-    old = summary_rows(ranked.filter("_old")).withColumn("_part", F.lit(0))
-    new = ranked.filter("not _old").withColumn("_part", F.lit(1))
-    both = old.unionByName(new.drop("_n", "_rank", "_old"), allowMissingColumns=True)
-    return schema.widen(both.withColumn("pos", F.row_number().over(payload.orderBy("_part", "pos")).cast("bigint")))
+    # The first old record of a thread becomes the summary of all, so that there is one pass and no union.
+    thread = Window.partitionBy("payload_id", "thread_id", "_old")
+    ranked = ranked.withColumns({
+        "_count": F.count("*").over(thread), "_types": F.collect_set("type").over(thread), "_step": F.max("step").over(thread), "_first": F.min("pos").over(thread),
+    }).filter("not _old or pos = _first")
+    text = F.format_string("Compressed %d records (types: %s) up to step %d", "_count", F.array_join(F.array_sort("_types"), ","), "_step")
+    made = {
+        "type": F.lit("mem"), "id": F.concat(F.lit("mem_summary_"), "thread_id"), "step": F.col("_step"), "key": F.concat(F.lit("context_summary_"), "thread_id"), "value": text, "confidence": F.lit(0.9),
+    }
+    pos = F.row_number().over(payload.orderBy(F.col("_old").desc(), "pos")).cast("bigint")
+
+    def column(name: str) -> Column:
+        if name in ("payload_id", "thread_id"):
+            return F.col(name)
+        if name == "pos":
+            return pos.alias("pos")
+        return F.when(F.col("_old"), made.get(name, F.lit(None).cast(schema.WIDE[name]))).otherwise(F.col(f"`{name}`")).alias(name)
+
+    return ranked.select(*map(column, schema.WIDE))
 
 
 def latest_mem(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -65,9 +81,10 @@ def latest_mem(df: DataFrame, key: str | None = None) -> DataFrame:
 
 def dedup_mem(df: DataFrame) -> DataFrame:
     """Of the memories of a thread and key, the one of the highest step (ties: the first); other records as they are."""
-    w = Window.partitionBy("payload_id", "type", "thread_id", "key").orderBy(F.col("step").desc(), "pos")
-    mem = df.filter("type = 'mem'").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return df.filter("type <> 'mem'").unionByName(mem)
+    # Others are alone in their windows, so that none is large.
+    alone = F.when(F.col("type") == "mem", F.lit(-1).cast("bigint")).otherwise(F.col("pos"))
+    w = Window.partitionBy("payload_id", "thread_id", "key", alone).orderBy(F.col("step").desc(), "pos")
+    return df.withColumn("_rn", F.row_number().over(w)).filter("type <> 'mem' or _rn = 1").drop("_rn")
 
 
 def first_by_identity(df: DataFrame, within: tuple[str, ...] = (), order: tuple[str, ...] = ("pos",)) -> DataFrame:
@@ -76,17 +93,29 @@ def first_by_identity(df: DataFrame, within: tuple[str, ...] = (), order: tuple[
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def numbered(df: DataFrame, group: str, order: tuple[str, ...], name: str) -> DataFrame:
+    """Adds the number from 1 of each row in its group. Rows are ranged over all partitions, whatever the size of a group, and what precedes each partition is added."""
+    part, local = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_local")
+    ranged = store.checkpoint(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).select("*", part, local))
+    # A row for each group in each partition: of the order of groups and partitions together.
+    sizes = ranged.groupBy(group, "_part").agg(F.count("*").alias("_size"), F.min("_local").alias("_begin"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(group).alias("_group"), F.col("_part").alias("_in"), (before - F.col("_begin") + 1).alias("_shift"))
+    joined = ranged.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_in")))
+    return joined.withColumn(name, (F.col("_local") + F.col("_shift")).cast("bigint")).drop("_part", "_local", "_group", "_in", "_shift")
+
+
 def merge_threads(df: DataFrame, session: str = "session_id") -> DataFrame:
     """Records of all payloads of a session, each identity once, numbered by thread and step."""
     once = first_by_identity(df, (session,), ("payload_id", "pos"))
-    w = Window.partitionBy(session).orderBy("thread_id", "step", "payload_id", "pos")
-    return once.withColumn("merged_pos", F.row_number().over(w).cast("bigint"))
+    return numbered(once, session, ("thread_id", "step", "payload_id", "pos"), "merged_pos")
 
 
 def context_usage(df: DataFrame, meta: tuple[str, ...] = ()) -> DataFrame:
     """Rows, characters and tokens by payload and type."""
-    lines = df.select("payload_id", "type", encode_row(meta).alias("line"))
-    return lines.groupBy("payload_id", "type").agg(F.count("*").alias("n_rows"), F.sum(F.length("line")).cast("bigint").alias("chars"), F.sum(estimate_tokens("line")).cast("bigint").alias("tokens"))
+    sized = df.select("payload_id", "type", F.length(encode_row(meta)).alias("_chars"))
+    tokens = F.floor((F.col("_chars") + 3) / 4).cast("bigint")
+    return sized.groupBy("payload_id", "type").agg(F.count("*").alias("n_rows"), F.sum("_chars").cast("bigint").alias("chars"), F.sum(tokens).cast("bigint").alias("tokens"))
 
 
 def context_totals(df: DataFrame, meta: tuple[str, ...] = ()) -> DataFrame:

@@ -62,30 +62,33 @@ def step_violations(df: DataFrame) -> DataFrame:
     return with_previous(df).withColumn("_p", backward_step()).filter("_p is not null").select("payload_id", "pos", "_p.violation.*")
 
 
+def _tool_positions() -> Column:
+    """First position of a tool with a row's id; by payload and id, so whatever clusters payloads serves."""
+    return F.min(F.when(F.col("type") == "tool", F.col("pos"))).over(Window.partitionBy("payload_id", "id"))
+
+
 def orphan_results(df: DataFrame, strict_order: bool = False) -> DataFrame:
     """Results whose id no tool of the payload has (none before it, if the order counts)."""
-    res = df.filter("type = 'res'")
-    tools = df.filter("type = 'tool'").groupBy("payload_id", "id").agg(F.min("pos").alias("_first"))
-    if not strict_order:
-        return res.join(tools, ["payload_id", "id"], "left_anti")
-    late = res.join(tools, ["payload_id", "id"], "left").filter("_first is null or _first > pos")
-    return late.drop("_first")
+    calls = df.filter("type in ('tool', 'res')").withColumn("_tool", _tool_positions())
+    lone = F.col("_tool").isNull() | (F.col("_tool") > F.col("pos")) if strict_order else F.col("_tool").isNull()
+    return calls.filter((F.col("type") == "res") & lone).drop("_tool")
 
 
-def first_violations(df: DataFrame) -> DataFrame:
-    """The first violation of each payload that has one: row checks in row order, then results without tools."""
-    rows = with_previous(df).withColumn("_p", F.coalesce(empty_fields(), backward_step(), wrong_enum())).filter("_p is not null")
-    rows = rows.select("payload_id", F.lit(0).alias("phase"), "pos", F.col("_p.rank").alias("rank"), F.col("_p.violation").alias("violation"))
+def validate(df: DataFrame) -> DataFrame:
+    """(payload_id, ok, violation) of every payload: its first violation, row checks in row order before results without tools. One pass over windows by payload."""
     got = F.format_string("row %d: res id '%s' has no matching tool row", "pos", "id")
-    late = orphan_results(df).withColumn("_p", _problem(5, "id", got, F.concat(F.lit("tool row with id="), "id"), F.lit("no matching tool row"), "add the tool row or correct the id"))
-    late = late.select("payload_id", F.lit(1).alias("phase"), "pos", F.col("_p.rank").alias("rank"), F.col("_p.violation").alias("violation"))
-    return rows.unionByName(late).groupBy("payload_id").agg(F.min_by("violation", F.struct("phase", "pos", "rank")).alias("violation"))
+    late = _problem(5, "id", got, F.concat(F.lit("tool row with id="), "id"), F.lit("no matching tool row"), "add the tool row or correct the id")
+    rows = with_previous(df).withColumn("_tool", _tool_positions())
+    checked = rows.withColumn("_p", F.coalesce(empty_fields(), backward_step(), wrong_enum())).withColumn("_q", F.when((F.col("type") == "res") & F.col("_tool").isNull(), late))
+    at = F.when(F.col("_p").isNotNull(), F.struct(F.lit(0).alias("phase"), "pos", F.col("_p.rank").alias("rank"))).when(F.col("_q").isNotNull(), F.struct(F.lit(1).alias("phase"), "pos", F.lit(5).alias("rank")))
+    checked = checked.select("payload_id", F.coalesce("_p", "_q")["violation"].alias("violation"), at.alias("_at"))
+    first = checked.groupBy("payload_id").agg(F.min_by("violation", "_at").alias("violation"))
+    return first.select("payload_id", F.col("violation").isNull().alias("ok"), "violation")
 
 
-def validate(df: DataFrame) -> DataFrame:
-    """(payload_id, ok, violation) of every payload."""
-    payloads = df.select("payload_id").distinct()
-    return payloads.join(first_violations(df), "payload_id", "left").select("payload_id", F.col("violation").isNull().alias("ok"), "violation")
+def first_violations(df: DataFrame) -> DataFrame:
+    """(payload_id, violation) of the payloads that have one."""
+    return validate(df).filter("not ok").drop("ok")
 
 
 def schema_compliance(df: DataFrame, keys: str = "keys", kind: str = "type") -> DataFrame:

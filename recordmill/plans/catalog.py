@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 from recordmill import schema
 from recordmill.functions import scalar
 from recordmill.operators import codec, compress, profile, routing, select, session, state, validate
-from recordmill.sources import payload, tabular, text
+from recordmill.sources import payload, store, tabular, text
 from recordmill.sources.derived import memories, messages, read, records, results, sql_views, thoughts, tools
 from recordmill.streaming import stateful
 
@@ -672,21 +671,9 @@ def replay_records(spark, sf_dir):
     return tabular.replay_records(_log(spark, sf_dir)).select("payload_id", "pos", "id", "content")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a temporary one of this machine only where none is set, as in tests."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
     """The rows of a table as a stream of files, with a folder for its checkpoints."""
-    folder = _folder(spark)
+    folder = store.folder(spark, "streams")
     df.write.parquet(f"{folder}/in")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in"), f"{folder}/state"
 
@@ -779,7 +766,7 @@ def event_records(spark, sf_dir):
 @query(f"{CALLS} SELECT payload_id, pos, type, id, step, data FROM rec")
 def stream_decode(spark, sf_dir):
     """Payload files read as a stream."""
-    folder = _folder(spark)
+    folder = store.folder(spark, "streams")
     # The text writer ends the last line itself.
     files = payload.encode_payloads(calls(spark, sf_dir)).select(F.expr("left(payload, length(payload) - 1)").alias("value"), F.col("payload_id").alias("file"))
     files.repartition("file").write.partitionBy("file").text(f"{folder}/in")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordmill import schema
 from recordmill.functions.scalar import estimate_tokens
+from recordmill.sources import store
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,17 +75,86 @@ def thoughts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, schema.ENUMS["plan", "status"])), F.col("p_size") % 4 + 1)
+    return read(spark, sf_dir, "part").select(
+        _tens("q", "p_partkey").alias("payload_id"), F.lit("plan").alias("type"), F.concat(F.lit("pl"), "p_partkey").alias("id"), _tens("q", "p_partkey").alias("thread_id"),
+        (F.col("p_partkey") % 10 + 1).alias("step"), (F.col("p_partkey") % 10 + 1).alias("index"), F.concat(F.col("p_brand"), F.lit(' | "'), "p_name", F.lit('"\n'), "p_type", F.lit("\\")).alias("description"),
+        status.alias("status"),
+    )
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(
+        _tens("w", "c_custkey").alias("payload_id"), F.lit("obs").alias("type"), F.concat(F.lit("ob"), "c_custkey").alias("id"), F.concat(F.lit("w"), "c_custkey").alias("thread_id"),
+        F.lit(1).cast("bigint").alias("step"), F.col("c_mktsegment").alias("source"), F.col("c_name").alias("content"), (F.col("c_custkey") % 9 / 8).alias("confidence"),
+        F.concat(F.lit("pl"), "c_custkey").alias("parent_id"),
+    )
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return read(spark, sf_dir, "events").filter("event_type = 'error'").select(
+        _tens("x", "user_id").alias("payload_id"), F.lit("err").alias("type"), F.concat(F.lit("er"), "event_id").alias("id"), F.concat(F.lit("x"), "user_id").alias("thread_id"),
+        F.row_number().over(w).cast("bigint").alias("step"), F.concat(F.lit("E"), F.col("event_id") % 7).alias("code"), F.col("props").alias("message"), F.lit("events").alias("source"),
+        (F.col("event_id") % 2 == 0).alias("recoverable"),
+    )
+
+
+def retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(
+        _tens("r", "p_partkey").alias("payload_id"), F.lit("rag").alias("type"), F.concat(F.lit("ra"), "p_partkey").alias("id"), F.concat(F.lit("r"), "p_partkey").alias("thread_id"),
+        F.lit(1).cast("bigint").alias("step"), (F.col("p_partkey") % 10 + 1).alias("rank"), (F.col("p_size") / 64).alias("score"), F.col("p_brand").alias("source"), F.col("p_name").alias("chunk"),
+        (F.col("p_size") % 2 == 0).alias("used"),
+    )
+
+
+def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = read(spark, sf_dir, "labels").filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return once.select(
+        _tens("h", "doc_id").alias("payload_id"), F.lit("hyp").alias("type"), F.concat(F.lit("hy"), "doc_id").alias("id"), F.concat(F.lit("h"), "doc_id").alias("thread_id"),
+        F.lit(1).cast("bigint").alias("step"), F.concat(F.lit("document "), "doc_id", F.lit(" is good")).alias("statement"), F.lit("").alias("evidence"),
+        (F.coalesce("quality", F.lit(0)) / 2 + 0.25).alias("score"), (F.coalesce("toxic", F.lit(0)) == 0).alias("accepted"),
+    )
+
+
+#: The folder of the store that a record type is in; payloads never span folders.
+FAMILIES = {"msg": "msg", "tool": "call", "res": "call", "mem": "mem", "cot": "cot", "plan": "plan", "obs": "obs", "err": "err", "rag": "rag", "hyp": "hyp"}
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 def positioned(df: DataFrame) -> DataFrame:
     """pos within each payload, by thread, step, id and type."""
     w = Window.partitionBy("payload_id").orderBy("thread_id", "step", "id", "type")
     return schema.widen(df.withColumn("pos", F.row_number().over(w).cast("bigint")))
 
 
+def _family(spark: SparkSession, sf_dir: str, name: str, *kinds) -> DataFrame:
+    """Records of kinds that share payloads, from the session's record store; stored when first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        every = positioned(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (k(spark, sf_dir) for k in kinds)))
+        _STORED[key] = store.save(every.withColumn("kind", F.lit(name)))
+    return spark.table(_STORED[key]).drop("kind")
+
+
 def records(spark: SparkSession, sf_dir: str, *kinds) -> DataFrame:
     """Wide records of the given kinds (functions of this module), all of them by default."""
-    kinds = kinds or (messages, tools, results, memories, thoughts)
-    return positioned(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (k(spark, sf_dir) for k in kinds)))
-
+    if not kinds:
+        key = (spark.sparkContext.applicationId, sf_dir, "all")
+        if key not in _STORED:
+            every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (k(spark, sf_dir) for k in ALL_KINDS))
+            families = F.create_map(*(F.lit(x) for pair in FAMILIES.items() for x in pair))
+            _STORED[key] = store.save(positioned(every).withColumn("kind", families[F.col("type")]))
+        return spark.table(_STORED[key]).drop("kind")
+    if set(kinds) == {memories, tools}:
+        return _family(spark, sf_dir, "mem", memories).unionByName(_family(spark, sf_dir, "tool", tools))
+    if set(kinds) == {tools, results}:
+        return _family(spark, sf_dir, "call", tools, results)
+    return _family(spark, sf_dir, kinds[0].__name__, kinds[0])
+
+
+ALL_KINDS = (messages, tools, results, memories, thoughts, plans, observations, errors, retrievals, hypotheses)
 
 #: The same views in SQL: WITH clauses to put before a query over ``rec``.
 _PARTS = {
@@ -103,6 +173,16 @@ _PARTS = {
   l_linenumber::BIGINT AS index, CASE l_returnflag WHEN 'A' THEN 'observe' WHEN 'R' THEN 'verify' ELSE 'compute' END AS cot_type, concat('part ', l_partkey) AS text,
   round(l_tax * 100) / 8 AS confidence
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rn FROM lineitem)""",
+    "plan": """SELECT concat('q', p_partkey // 10) AS payload_id, 'plan' AS type, concat('pl', p_partkey) AS id, concat('q', p_partkey // 10) AS thread_id, p_partkey % 10 + 1 AS step, p_partkey % 10 + 1 AS index,
+  concat(p_brand, ' | "', p_name, '"', chr(10), p_type, chr(92)) AS description, ['active', 'done', 'pending', 'skipped'][p_size % 4 + 1] AS status FROM part""",
+    "obs": """SELECT concat('w', c_custkey // 10) AS payload_id, 'obs' AS type, concat('ob', c_custkey) AS id, concat('w', c_custkey) AS thread_id, 1::BIGINT AS step, c_mktsegment AS source, c_name AS content,
+  (c_custkey % 9) / 8 AS confidence, concat('pl', c_custkey) AS parent_id FROM customer""",
+    "err": """SELECT concat('x', user_id // 10) AS payload_id, 'err' AS type, concat('er', event_id) AS id, concat('x', user_id) AS thread_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
+  concat('E', event_id % 7) AS code, props AS message, 'events' AS source, event_id % 2 = 0 AS recoverable FROM events WHERE event_type = 'error'""",
+    "rag": """SELECT concat('r', p_partkey // 10) AS payload_id, 'rag' AS type, concat('ra', p_partkey) AS id, concat('r', p_partkey) AS thread_id, 1::BIGINT AS step, p_partkey % 10 + 1 AS rank, p_size / 64 AS score,
+  p_brand AS source, p_name AS chunk, p_size % 2 = 0 AS used FROM part""",
+    "hyp": """SELECT concat('h', doc_id // 10) AS payload_id, 'hyp' AS type, concat('hy', doc_id) AS id, concat('h', doc_id) AS thread_id, 1::BIGINT AS step, concat('document ', doc_id, ' is good') AS statement, '' AS evidence,
+  coalesce(max(quality), 0) / 2 + 0.25::DOUBLE AS score, coalesce(max(toxic), 0) = 0 AS accepted FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id""",
 }
 
 
