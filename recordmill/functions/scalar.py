@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordmill import schema
@@ -98,51 +100,81 @@ def varint_bytes(n: Column | str) -> Column:
 def float_text(x: Column | str) -> Column:
     """Round-trip text of a double (the JVM's shortest digits): plain notation within [1e-4, 1e16), exponents like 1e-05, nan, inf."""
     c = _col(x).cast("double")
-    raw = c.cast("string")
-    mantissa = F.regexp_replace(F.regexp_extract(raw, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
-    exponent = F.regexp_extract(raw, r"E(-?[0-9]+)$", 1)
-    size = F.abs(c)
-    # Spark switches to exponents at 1e7 and below 1e-3; a decimal in between is exact enough to print plainly.
-    digits = F.regexp_replace(F.regexp_extract(raw, r"^-?([0-9.]+)", 1), r"\.", "")
-    digits = F.regexp_replace(digits, "(?<=.)0+$", "")
-    e = F.when(exponent != "", exponent.cast("int")).otherwise(F.lit(0))
-    sign = F.when(c < 0, "-").otherwise("")
-    whole = F.when(F.length(digits) > e + 1, F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, F.lit(30)))).otherwise(F.concat(F.rpad(digits, e + 1, F.lit("0")), F.lit(".0")))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    power = F.concat(mantissa, F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
-    return (
-        F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
-        .when(exponent == "", raw).when((size >= 1e7) & (size < 1e16), F.concat(sign, whole)).when((size >= 1e-4) & (size < 1e-3), F.concat(sign, small)).otherwise(power)
-    )
+    raw, size = c.cast("string"), F.abs(c)
+    # Spark switches to exponents at 1e7 and below 1e-3; all digits of a number in between fit a decimal.
+    plain = F.regexp_replace(raw.cast("decimal(38,22)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\.0E", "E"), r"E([0-9])", "E+$1"), r"E([+-])([0-9])$", "E$10$2")
+    named = F.when(raw == "NaN", "nan").when(raw == "Infinity", "inf").when(raw == "-Infinity", "-inf").otherwise(raw)
+    return F.when(~F.contains(raw, F.lit("E")), named).when((size >= 1e-4) & (size < 1e16), plain).otherwise(F.lower(power))
+
+
+def escaped(c: Column) -> Column:
+    """A text as a cell: $0= if empty, in quotes where needed."""
+    safe = F.replace(c, F.lit(_BACKSLASH), F.lit(_BACKSLASH * 2))
+    for a, b in (('"', '""'), ("\n", _BACKSLASH + "n"), ("\r", _BACKSLASH + "r")):
+        safe = F.replace(safe, F.lit(a), F.lit(b))
+    return F.when(c == "", "$0=").when(c.rlike(r'[|"\\\n\r]'), F.concat(F.lit('"'), safe, F.lit('"'))).otherwise(c)
 
 
 def encode_field(value: Column | str, kind: str) -> Column:
     """One cell of a payload row: N for null, T or F, numbers, $0= for an empty text, quotes where needed."""
     c = _col(value)
-    if kind == "boolean":
-        out = F.when(c, "T").otherwise("F")
-    elif kind == "double":
-        out = float_text(c)
-    elif kind == "bigint":
-        out = c.cast("string")
-    else:
-        safe = F.replace(c, F.lit(_BACKSLASH), F.lit(_BACKSLASH * 2))
-        for a, b in (('"', '""'), ("\n", _BACKSLASH + "n"), ("\r", _BACKSLASH + "r")):
-            safe = F.replace(safe, F.lit(a), F.lit(b))
-        out = F.when(c == "", "$0=").when(c.rlike(r'[|"\\\n\r]'), F.concat(F.lit('"'), safe, F.lit('"'))).otherwise(c)
-    return F.when(c.isNull(), "N").otherwise(out)
-
-
-def encode_row(meta: tuple[str, ...] = ()) -> Column:
-    """A record's payload row from the columns of the wide schema."""
-    head = [F.col("type"), *(encode_field(k, v) for k, v in list(schema.COMMON.items())[1:])]
-    tail = [encode_field(m, schema.META[m]) for m in meta]
-    out = F.lit(None).cast("string")
-    for kind, fields in schema.FIELDS.items():
-        out = F.when(F.col("type") == kind, F.concat_ws("|", *head, *(encode_field(f"`{k}`", v) for k, v in fields.items()), *tail)).otherwise(out)
+    texts = {"boolean": lambda: F.when(c, "T").when(~c, "F"), "double": lambda: float_text(c), "bigint": lambda: c.cast("string"), "string": lambda: escaped(c)}
+    return F.coalesce(texts[kind](), F.lit("N"))
+
+
+def _slots() -> list[dict[str, dict[str, list[str]]]]:
+    """For each place behind the common cells, by kind of value: the fields that records have there, with their types."""
+    out: list[dict[str, dict[str, list[str]]]] = [{} for _ in range(max(map(len, schema.FIELDS.values())))]
+    for t, fields in schema.FIELDS.items():
+        for i, (k, kind) in enumerate(fields.items()):
+            out[i].setdefault(kind, {}).setdefault(k, []).append(t)
     return out
 
 
+def _in(types: list[str], column: str = "type") -> str:
+    return f"`{column}` IN ({', '.join(repr(t) for t in types)})"
+
+
+def _by_type(choices: dict[str, list[str]], value: Callable[[str], str]) -> str:
+    """SQL: of ``choices`` (name -> record types), value(name) of the one that has the row's type."""
+    return "CASE " + " ".join(f"WHEN {_in(types)} THEN {value(name)}" for name, types in choices.items()) + " END"
+
+
+def _plain(name: str, kind: str) -> str:
+    return f"CASE WHEN `{name}` THEN 'T' WHEN NOT `{name}` THEN 'F' END" if kind == "boolean" else f"CAST(`{name}` AS STRING)"
+
+
+def with_line(df: DataFrame, meta: tuple[str, ...] = (), name: str = "line") -> DataFrame:
+    """Adds each record's payload row; null for unknown types.
+
+    Values are chosen by type and place first and written as cells then, in steps that refer to each other by column, so that generated code stays small.
+    """
+    slots = _slots()
+    doubles = {k: [t for t, f in schema.FIELDS.items() if f.get(k) == "double"] for k in dict.fromkeys(k for f in schema.FIELDS.values() for k, v in f.items() if v == "double")}
+    chosen = {"__x": F.expr(_by_type(doubles, lambda k: f"`{k}`"))}
+    for i, slot in enumerate(slots):
+        if "string" in slot:
+            chosen[f"__s{i}"] = F.expr(_by_type(slot["string"], lambda k: f"`{k}`"))
+        plain = {k: types for kind in ("bigint", "boolean") for k, types in slot.get(kind, {}).items()}
+        if plain:
+            kinds = {k: kind for kind in ("bigint", "boolean") for k in slot.get(kind, {})}
+            chosen[f"__n{i}"] = F.expr(_by_type(plain, lambda k, kinds=kinds: _plain(k, kinds[k])))
+    out = df.withColumns(chosen).withColumn("__f", float_text("__x"))
+    texts = {"__id": escaped(F.col("id")), "__thread": escaped(F.col("thread_id"))} | {k: escaped(F.col(k)) for k in chosen if k.startswith("__s")}
+    tail = {f"__m{i}": encode_field(m, schema.META[m]) for i, m in enumerate(meta)}
+    out = out.withColumns(texts | tail)
+    cells = ["type", "coalesce(__id, 'N')", "coalesce(__thread, 'N')", "coalesce(CAST(step AS STRING), 'N')"]
+    for i, slot in enumerate(slots):
+        every = [t for choices in slot.values() for types in choices.values() for t in types]
+        found = [k for k in (f"__s{i}", f"__n{i}") if k in chosen]
+        if "double" in slot:
+            found.append(f"CASE WHEN {_in([t for types in slot['double'].values() for t in types])} THEN __f END")
+        cells.append(f"CASE WHEN {_in(every)} THEN coalesce({', '.join(found)}, 'N') END")
+    line = F.expr(f"CASE WHEN {_in(list(schema.FIELDS))} THEN concat_ws('|', {', '.join([*cells, *tail])}) END")
+    return out.withColumn(name, line).drop("__f", *chosen, *texts, *tail)
+
+
 #: Cells of a row: quoted ones may hold separators and doubled quotes; the last match is the empty one at the end.
 _CELL = r'("[^"]*+(?:""[^"]*+)*+"|[^|]*)(?:\||$)'
 
@@ -159,10 +191,9 @@ def split_row(line: Column | str) -> Column:
 def unescape(cell: Column | str) -> Column:
     """Inside of a quoted cell, read from left to right."""
     c = _col(cell)
-    c = F.replace(c, F.lit('""'), F.lit('"'))
-    c = F.replace(c, F.lit(_BACKSLASH * 2), F.lit("\x00"))
-    c = F.replace(F.replace(c, F.lit(_BACKSLASH + "n"), F.lit("\n")), F.lit(_BACKSLASH + "r"), F.lit("\r"))
-    return F.replace(c, F.lit("\x00"), F.lit(_BACKSLASH))
+    breaks = lambda x: F.replace(F.replace(x, F.lit(_BACKSLASH + "n"), F.lit("\n")), F.lit(_BACKSLASH + "r"), F.lit("\r"))
+    pairs = F.array_join(F.transform(F.split(c, r"\\\\", -1), breaks), _BACKSLASH)
+    return F.replace(F.when(F.contains(c, F.lit(_BACKSLASH * 2)), pairs).otherwise(breaks(c)), F.lit('""'), F.lit('"'))
 
 
 def decode_field(cell: Column, kind: str) -> Column:
@@ -199,23 +230,39 @@ def well_formed(line: Column | str, meta: tuple[str, ...] = ()) -> Column:
     return _col(line).rlike(row_pattern(meta))
 
 
-def decode_row(cells: str, meta: tuple[str, ...] = ()) -> list[Column]:
-    """Columns of the wide schema (without payload_id and pos) from the cells of a well-formed row."""
-    kind = F.element_at(cells, 1)
-    out = []
+def decoded_rows(rows: DataFrame, keys: list[str], cells: str, meta: tuple[str, ...] = ()) -> DataFrame:
+    """Key columns and the columns of the wide schema (without payload_id and pos) of rows whose ``cells`` are those of well-formed rows."""
+    slots = _slots()
+    texts = ["id", "thread", *(str(i) for i in range(len(slots)))]
+    raw = {f"__r_{n}": F.get(cells, i) for n, i in zip(texts, (1, 2, *range(4, 4 + len(slots))), strict=True)}
+    # The text of each place is read once, and fields take it from there.
+    out = rows.select(*keys, F.get(cells, 0).alias("__kind"), F.get(cells, 3).alias("__step"), *(c.alias(n) for n, c in raw.items()), *(F.get(cells, F.size(cells) - (len(meta) - i)).alias(f"__m{i}") for i in range(len(meta))))
+    inner = {f"__q_{n}": F.expr(f"CASE WHEN startswith(__r_{n}, '\"') AND endswith(__r_{n}, '\"') AND length(__r_{n}) >= 2 THEN substring(__r_{n}, 2, length(__r_{n}) - 2) END") for n in texts}
+    out = out.withColumns(inner)
+    read = {f"__t_{n}": F.when(F.col(f"__r_{n}") == "N", None).when(F.col(f"__r_{n}") == "$0=", "").otherwise(F.coalesce(unescape(f"__q_{n}"), F.col(f"__r_{n}"))) for n in texts}
+    out = out.withColumns(read)
+    columns = {"type": "__kind", "id": "__t_id", "thread_id": "__t_thread", "step": "try_cast(__step AS BIGINT)"}
     for k, v in schema.WIDE.items():
-        if k in ("payload_id", "pos"):
+        if k in columns or k in keys:
             continue
-        if k in schema.COMMON:
-            at = F.lit(list(schema.COMMON).index(k) + 1)
-        elif k in schema.META:
-            at = F.size(cells) - (len(meta) - meta.index(k)) + 1 if k in meta else F.lit(None).cast("int")
-        else:
-            at = F.lit(None).cast("int")
-            for i in sorted({list(f).index(k) for f in schema.FIELDS.values() if k in f}):
-                at = F.when(kind.isin([t for t, f in schema.FIELDS.items() if k in f and list(f).index(k) == i]), len(schema.COMMON) + i + 1).otherwise(at)
-        out.append(decode_field(F.try_element_at(cells, at), v).cast(v).alias(k))
-    return out
+        if k in schema.META:
+            columns[k] = "NULL"
+            continue
+        whens = []
+        for i, slot in enumerate(slots):
+            for kind, choices in slot.items():
+                if k in choices:
+                    whens.append(f"WHEN {_in(choices[k], '__kind')} THEN {f'__t_{i}' if kind == 'string' else f'__r_{i}'}")
+        value = f"CASE {' '.join(whens)} END"
+        if v == "boolean":
+            value = f"CASE {value} WHEN 'T' THEN true WHEN 'F' THEN false END"
+        elif v == "double":
+            value = f"try_cast(CASE {value} WHEN 'inf' THEN 'Infinity' WHEN '-inf' THEN '-Infinity' WHEN 'nan' THEN 'NaN' ELSE {value} END AS DOUBLE)"
+        elif v == "bigint":
+            value = f"try_cast({value} AS BIGINT)"
+        columns[k] = value
+    made = [F.expr(f"CAST({c} AS {schema.WIDE[k]})").alias(k) if k not in meta else decode_field(F.col(f"__m{meta.index(k)}"), schema.WIDE[k]).alias(k) for k, c in columns.items()]
+    return out.select(*keys, *made)
 
 
 def truncated(text: Column, n: int = 500) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordmill import schema
-from recordmill.functions.scalar import encode_row, estimate_tokens, truncated
+from recordmill.functions.scalar import estimate_tokens, truncated, with_line
 from recordmill.operators.select import keep_types, priority, sliding_window, summary_rows
 
 
@@ -84,7 +84,7 @@ def units(df: DataFrame, meta: tuple[str, ...] = ()) -> DataFrame:
     Of the results up to a row, those in excess of the tools before them at their worst found none waiting; the k-th of the others
     goes with the k-th tool. So running counts by payload and id do, without lists.
     """
-    lines = df.select("payload_id", "pos", "type", "id", estimate_tokens(encode_row(meta)).alias("tokens"))
+    lines = with_line(df, meta).select("payload_id", "pos", "type", "id", estimate_tokens("line").alias("tokens"))
     call = F.col("type").isin("tool", "res")
     # Other records are alone in their windows.
     own = (F.when(call, F.lit(-1).cast("bigint")).otherwise(F.col("pos"))).alias("_own")
@@ -166,9 +166,9 @@ def chain(numbered: DataFrame, parent: str | None = None) -> DataFrame:
 def summary_chain(df: DataFrame, token_budget: int) -> DataFrame:
     """Batches of as many records as the first one's size allows; all but the last of a payload as summaries by thread."""
     payload = Window.partitionBy("payload_id")
-    first = F.min_by(F.struct(estimate_tokens(encode_row()).alias("t")), F.col("pos")).over(payload)["t"]
+    first = F.min_by(F.struct(estimate_tokens("_line").alias("t")), F.col("pos")).over(payload)["t"]
     per = F.greatest(F.lit(1), F.floor((F.lit(token_budget) - 20) / F.greatest(F.lit(1), first))).cast("bigint")
-    rows = df.withColumn("_per", per).withColumn("_i", F.row_number().over(payload.orderBy("pos")) - 1).withColumn("batch", F.floor(F.col("_i") / F.col("_per")).cast("bigint"))
+    rows = with_line(df, name="_line").withColumn("_per", per).drop("_line").withColumn("_i", F.row_number().over(payload.orderBy("pos")) - 1).withColumn("batch", F.floor(F.col("_i") / F.col("_per")).cast("bigint"))
     rows = rows.withColumn("_last", F.max("batch").over(payload))
     old = summary_rows(rows.filter("batch < _last"), ("payload_id", "batch"))
     new = rows.filter("batch = _last").drop("_per", "_i", "_last")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordmill import schema
-from recordmill.functions.scalar import encode_row
+from recordmill.functions.scalar import with_line
 from recordmill.sources import store
 
 KEPT_TYPES = ("msg", "err", "mem")
@@ -93,27 +93,36 @@ def first_by_identity(df: DataFrame, within: tuple[str, ...] = (), order: tuple[
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def numbered(df: DataFrame, group: str, order: tuple[str, ...], name: str) -> DataFrame:
-    """Adds the number from 1 of each row in its group. Rows are ranged over all partitions, whatever the size of a group, and what precedes each partition is added."""
-    part, local = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_local")
-    ranged = store.checkpoint(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).select("*", part, local))
+def offsets(counts: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, key, offset) of counts(group, key, n): the sum of n of the group's smaller keys.
+
+    Keys are ranged over all partitions, however many a group has, and what precedes each partition is added.
+    """
+    ranged = store.checkpoint(counts.repartitionByRange(group, key).select(group, key, "n", F.spark_partition_id().alias("_part")))
+    earlier = Window.unboundedPreceding, -1
+    inner = F.coalesce(F.sum("n").over(Window.partitionBy(group, "_part").orderBy(key).rowsBetween(*earlier)), F.lit(0))
     # A row for each group in each partition: of the order of groups and partitions together.
-    sizes = ranged.groupBy(group, "_part").agg(F.count("*").alias("_size"), F.min("_local").alias("_begin"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col(group).alias("_group"), F.col("_part").alias("_in"), (before - F.col("_begin") + 1).alias("_shift"))
-    joined = ranged.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_in")))
-    return joined.withColumn(name, (F.col("_local") + F.col("_shift")).cast("bigint")).drop("_part", "_local", "_group", "_in", "_shift")
+    sizes = ranged.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.sum("n").alias("_sum"))
+    sizes = sizes.select("_g", "_p", F.coalesce(F.sum("_sum").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(*earlier)), F.lit(0)).alias("_before"))
+    joined = ranged.withColumn("_inner", inner).join(sizes, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return joined.select(group, key, (F.col("_inner") + F.col("_before")).alias("offset"))
 
 
 def merge_threads(df: DataFrame, session: str = "session_id") -> DataFrame:
     """Records of all payloads of a session, each identity once, numbered by thread and step."""
-    once = first_by_identity(df, (session,), ("payload_id", "pos"))
-    return numbered(once, session, ("thread_id", "step", "payload_id", "pos"), "merged_pos")
+    # One shuffle by session and thread serves the identities, the numbers within threads and the join with the threads' offsets.
+    placed = df.repartition(session, "thread_id")
+    once = first_by_identity(placed, (session,), ("payload_id", "pos"))
+    threads = offsets(once.groupBy(session, "thread_id").agg(F.count("*").alias("n")), session, "thread_id")
+    threads = threads.select(F.col(session).alias("_s"), F.col("thread_id").alias("_t"), F.col("offset").alias("_offset"))
+    within = F.row_number().over(Window.partitionBy(session, "thread_id").orderBy("step", "payload_id", "pos"))
+    numbered = once.withColumn("_within", within).join(threads, F.col(session).eqNullSafe(F.col("_s")) & F.col("thread_id").eqNullSafe(F.col("_t")))
+    return numbered.withColumn("merged_pos", (F.col("_within") + F.col("_offset")).cast("bigint")).drop("_within", "_offset", "_s", "_t")
 
 
 def context_usage(df: DataFrame, meta: tuple[str, ...] = ()) -> DataFrame:
     """Rows, characters and tokens by payload and type."""
-    sized = df.select("payload_id", "type", F.length(encode_row(meta)).alias("_chars"))
+    sized = with_line(df, meta).select("payload_id", "type", F.length("line").alias("_chars"))
     tokens = F.floor((F.col("_chars") + 3) / 4).cast("bigint")
     return sized.groupBy("payload_id", "type").agg(F.count("*").alias("n_rows"), F.sum("_chars").cast("bigint").alias("chars"), F.sum(tokens).cast("bigint").alias("tokens"))
 

@@ -348,7 +348,7 @@ def summary_chain(spark, sf_dir):
 
 @query(f"{ALL}, {LINES} SELECT payload_id, pos, line FROM lines")
 def encode_rows(spark, sf_dir):
-    return records(spark, sf_dir).select("payload_id", "pos", scalar.encode_row().alias("line"))
+    return scalar.with_line(records(spark, sf_dir)).select("payload_id", "pos", "line")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill import schema
-from recordmill.functions.scalar import decode_row, encode_field, encode_row, estimate_tokens, split_row, well_formed
+from recordmill.functions.scalar import decoded_rows, encode_field, estimate_tokens, split_row, well_formed, with_line
 from recordmill.operators.validate import first_violations
 
 _HEADER = ("thread", "context_window", "context_used", "payload_id", "parent_payload_id", "agent_id", "session_id", "schema_version", "meta", "records")
@@ -21,7 +21,7 @@ def header_lines(values: dict[str, Column]) -> Column:
 
 def encode_payloads(df: DataFrame, meta: tuple[str, ...] = (), headers: DataFrame | None = None, context_window: int | None = None, enforce_budget: bool = False, magic: str = schema.MAGIC) -> DataFrame:
     """(payload_id, payload): one text by payload, rows in order of pos. ``headers`` may give header values by payload_id."""
-    lines = df.select("payload_id", "pos", encode_row(meta).alias("line"))
+    lines = with_line(df, meta).select("payload_id", "pos", "line")
     body = lines.groupBy("payload_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
     text = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
     out = body.select("payload_id", text.alias("_body"), F.size("_l").alias("_n")).withColumn("_used", estimate_tokens("_body"))
@@ -87,7 +87,7 @@ def decode_payloads(payloads: DataFrame, meta: tuple[str, ...] = (), magic: str
 def _decoded(lines: DataFrame, meta: tuple[str, ...]) -> DataFrame:
     # A generated column is computed once, however many columns read it.
     cells = lines.select("payload_id", "pos", F.explode(F.array(split_row("line"))).alias("_c"))
-    return schema.widen(cells.select("payload_id", "pos", *decode_row("_c", meta)))
+    return schema.widen(decoded_rows(cells, ["payload_id", "pos"], "_c", meta))
 
 
 def decode_rows(lines: DataFrame, meta: tuple[str, ...] = ()) -> DataFrame:
