@@ -230,13 +230,62 @@ def well_formed(line: Column | str, meta: tuple[str, ...] = ()) -> Column:
     return _col(line).rlike(row_pattern(meta))
 
 
-def decoded_rows(rows: DataFrame, keys: list[str], cells: str, meta: tuple[str, ...] = ()) -> DataFrame:
-    """Key columns and the columns of the wide schema (without payload_id and pos) of rows whose ``cells`` are those of well-formed rows."""
+def well_formed_with(line: Column, extra: int) -> Column:
+    """Rows with so many cells of any kind behind those of their type: the fields that a header names."""
+    more = rf"(?:\|{_PATTERNS['string']}){{{extra}}}" if extra else ""
+    return line.rlike(row_pattern().removesuffix(r"\z") + more + r"\z")
+
+
+def _reads(extra: int) -> Callable[[Column], Column]:
+    return lambda x: well_formed_with(x, extra)
+
+
+def row_marks(rows: str, meta: str) -> Column:
+    """1 for each row that can't be read, 0 for others."""
+    out = F.transform(rows, lambda x: F.lit(1))
+    for n in range(len(schema.META) + 1):
+        reads = _reads(n)
+        out = F.when(F.size(meta) == n, F.transform(rows, lambda x: F.when(reads(x), 0).otherwise(1))).otherwise(out)
+    return out
+
+
+def all_well_formed(rows: str, meta: str) -> Column:
+    """Whether all rows are well formed, ``meta`` being the array of a header's extra fields."""
+    out = F.lit(False)
+    for n in range(len(schema.META) + 1):
+        out = F.when(F.size(meta) == n, F.forall(rows, _reads(n))).otherwise(out)
+    return out
+
+
+def readable_rows(rows: str, meta: str) -> Column:
+    out = F.array().cast("array<string>")
+    for n in range(len(schema.META) + 1):
+        out = F.when(F.size(meta) == n, F.filter(rows, _reads(n))).otherwise(out)
+    return out
+
+
+def json_or_raw(text: Column | str) -> Column:
+    """A JSON object's text as it is; anything else as an object with the text as ``_raw``, null as an empty object."""
+    c = _col(text)
+    whole = F.trim(c).startswith("{") & F.try_parse_json(c).isNotNull()
+    return F.when(c.isNull() | (F.trim(c) == ""), "{}").when(whole, c).otherwise(F.to_json(F.struct(c.alias("_raw"))))
+
+
+def decoded_rows(rows: DataFrame, keys: list[str], cells: str, meta: tuple[str, ...] | str = ()) -> DataFrame:
+    """Key columns and the columns of the wide schema (without payload_id and pos) of rows whose ``cells`` are those of well-formed rows.
+
+    ``meta``: the fields behind those of the type, or the column that has an array of their names.
+    """
+    if isinstance(meta, str):
+        behind = {m: F.when(F.array_contains(meta, m), F.get(cells, (F.size(cells) - F.size(meta) + F.array_position(meta, m) - 1).cast("int"))) for m in schema.META}
+        meta = tuple(schema.META)
+    else:
+        behind = {m: F.get(cells, F.size(cells) - (len(meta) - i)) for i, m in enumerate(meta)}
     slots = _slots()
     texts = ["id", "thread", *(str(i) for i in range(len(slots)))]
     raw = {f"__r_{n}": F.get(cells, i) for n, i in zip(texts, (1, 2, *range(4, 4 + len(slots))), strict=True)}
     # The text of each place is read once, and fields take it from there.
-    out = rows.select(*keys, F.get(cells, 0).alias("__kind"), F.get(cells, 3).alias("__step"), *(c.alias(n) for n, c in raw.items()), *(F.get(cells, F.size(cells) - (len(meta) - i)).alias(f"__m{i}") for i in range(len(meta))))
+    out = rows.select(*keys, F.get(cells, 0).alias("__kind"), F.get(cells, 3).alias("__step"), *(c.alias(n) for n, c in raw.items()), *(behind[m].alias(f"__m{i}") for i, m in enumerate(meta)))
     inner = {f"__q_{n}": F.expr(f"CASE WHEN startswith(__r_{n}, '\"') AND endswith(__r_{n}, '\"') AND length(__r_{n}) >= 2 THEN substring(__r_{n}, 2, length(__r_{n}) - 2) END") for n in texts}
     out = out.withColumns(inner)
     read = {f"__t_{n}": F.when(F.col(f"__r_{n}") == "N", None).when(F.col(f"__r_{n}") == "$0=", "").otherwise(F.coalesce(unescape(f"__q_{n}"), F.col(f"__r_{n}"))) for n in texts}
@@ -265,5 +314,10 @@ def decoded_rows(rows: DataFrame, keys: list[str], cells: str, meta: tuple[str,
     return out.select(*keys, *made)
 
 
+def same_value(a: Column | str, b: Column | str) -> Column:
+    """Deep equality: nulls and NaNs are equal to themselves, whole numbers to doubles of the same value."""
+    return _col(a).eqNullSafe(_col(b))
+
+
 def truncated(text: Column, n: int = 500) -> Column:
     return F.substring(text, 1, n)

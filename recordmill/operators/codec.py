@@ -13,9 +13,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 MAGIC = b"RMB1"
 VERSION = b"\x01\x00"
@@ -204,7 +206,15 @@ class Reader:
         raise ValueError(f"unknown tag {tag}")
 
 
-def decode(data: bytes, magic: bytes = MAGIC) -> list[dict]:
+def encode_list(values: list, most: int = 64, magic: bytes = MAGIC) -> bytes:
+    """Any values, records of different fields among them, one after the other."""
+    pool = build_pool(values, most)
+    index = {s: i for i, s in enumerate(pool)}
+    return b"".join([magic, VERSION, bytes([POOL]), varint(len(pool)), *map(text, pool), bytes([LIST]), varint(len(values)), *(value(v, index) for v in values)])
+
+
+def decode(data: bytes, magic: bytes = MAGIC) -> list:
+    """Records of a matrix, or the values of a list."""
     r = Reader(data)
     if r.take(len(magic)) != magic:
         raise ValueError("wrong magic")
@@ -212,8 +222,11 @@ def decode(data: bytes, magic: bytes = MAGIC) -> list[dict]:
     if r.byte() != POOL:
         raise ValueError("pool expected")
     r.pool = [r.value() for _ in range(r.varint())]
-    if r.byte() != MATRIX:
-        raise ValueError("matrix expected")
+    form = r.byte()
+    if form == LIST:
+        return [r.value() for _ in range(r.varint())]
+    if form != MATRIX:
+        raise ValueError("matrix or list expected")
     n, k = r.varint(), r.varint()
     names = []
     for _ in range(k):
@@ -228,10 +241,9 @@ def decode(data: bytes, magic: bytes = MAGIC) -> list[dict]:
 # -- blocks of a DataFrame ------------------------------------------------------------------
 
 
-def _plain(x):
-    if x is None or x is pd.NA or (isinstance(x, float) and x != x):
-        return None
-    return x.item() if hasattr(x, "item") else x
+def rows_of(cell: pa.Scalar, columns: list[str]) -> list[dict]:
+    """Records of a cell of structs; NaN stays NaN."""
+    return [{c: r[c] for c in columns} for r in cell.as_py()]
 
 
 def encode_blocks(df: DataFrame, group: str, order: str, columns: list[str], rows: int = 1000, level: int | None = None) -> DataFrame:
@@ -239,35 +251,34 @@ def encode_blocks(df: DataFrame, group: str, order: str, columns: list[str], row
     blocks = df.withColumn("block", F.floor((F.col(order) - 1) / rows).cast("bigint"))
     packed = blocks.groupBy(group, "block").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *(F.col(f"`{c}`") for c in columns)))).alias("_r"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = []
-            for rs in b["_r"]:
-                records = [{c: _plain(r[c]) for c in columns} for r in rs]
-                d = encode(records)
-                data.append(d if level is None else zlib.compress(d, level))
-            yield pd.DataFrame({group: b[group], "block": b["block"], "data": data})
+            made = [encode(rows_of(rs, columns)) for rs in b.column(2)]
+            data = pa.array(made if level is None else [zlib.compress(d, level) for d in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), data], [group, "block", "data"])
 
     kind = df.schema[group].dataType.simpleString()
-    return packed.mapInPandas(run, f"`{group}` {kind}, block bigint, data binary")
+    return packed.mapInArrow(run, f"`{group}` {kind}, block bigint, data binary")
 
 
 def decode_blocks(blocks: DataFrame, group: str, fields: T.StructType, compressed: bool = False) -> DataFrame:
     """Rows of blocks(group, block, data), with their number ``row`` in the block."""
     names = [f.name for f in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for g, k, d in zip(b[group], b["block"], b["data"], strict=True):
-                d = bytes(d)
-                for i, r in enumerate(decode(zlib.decompress(d) if compressed else d)):
-                    out.append((g, k, i, *(r.get(c) for c in names)))
-            yield pd.DataFrame(out, columns=[group, "block", "row", *names], dtype=object)
+            for k in range(b.num_rows):
+                d = b.column(2)[k].as_py()
+                records = decode(zlib.decompress(d) if compressed else d)
+                own = [pa.repeat(b.column(i)[k], len(records)) for i in (0, 1)]
+                cells = [pa.array([r.get(c) for r in records], t) for c, t in zip(names, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(range(len(records)), pa.int64()), *cells], [group, "block", "row", *names])
 
     kind = blocks.schema[group].dataType.simpleString()
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return blocks.mapInPandas(run, f"`{group}` {kind}, block bigint, row bigint, {ddl}")
+    return blocks.select(group, "block", "data").mapInArrow(run, f"`{group}` {kind}, block bigint, row bigint, {ddl}")
 
 
 def msgpack(x) -> bytes:

@@ -118,6 +118,13 @@ def pack_bits(df: DataFrame, group: str, order: str, column: str) -> DataFrame:
     return df.groupBy(group, F.floor(i / 8).cast("bigint").alias("byte_no")).agg(F.sum(bit).cast("bigint").alias("byte"))
 
 
+def unpack_bits(df: DataFrame, group: str, order: str, column: str) -> DataFrame:
+    """The inverse, given (group, byte_no, byte, n): (group, order, column) for the first ``n`` places."""
+    bits = df.select(group, "byte_no", "byte", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_i"))
+    at = (F.col("byte_no") * 8 + F.col("_i") + 1).cast("bigint")
+    return bits.select(group, at.alias(order), (F.getbit("byte", "_i") == 1).alias(column), "n").filter(F.col(order) <= F.col("n")).drop("n")
+
+
 def window_blocks(df: DataFrame, group: str, order: str, size: int = 1000) -> DataFrame:
     """Adds ``block``: windows of ``size`` rows in order."""
     return df.withColumn("block", F.floor((F.col(order) - 1) / size).cast("bigint"))

@@ -6,6 +6,8 @@ a JSON text of everything else.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,18 +77,80 @@ def message_tokens(messages: str = "messages") -> Column:
     return F.aggregate(F.transform(messages, lambda m: F.coalesce(estimate_tokens(m["content"]), F.lit(0))), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def reduce_context(states: DataFrame, updates: DataFrame, context_window: int = CONTEXT_WINDOW, compress: bool = True) -> DataFrame:
-    """States with updates(thread_id, messages) appended; those beyond the window lose their completed tool sequences."""
+def reduce_context(states: DataFrame, updates: DataFrame, context_window: int = CONTEXT_WINDOW, compress: bool = True, reducer: Callable[[DataFrame], DataFrame] = compress_completed) -> DataFrame:
+    """States with updates(thread_id, messages) appended; those beyond the window go through ``reducer`` as records, by default losing their completed tool sequences."""
     joined = states.join(updates.select("thread_id", F.col("messages").alias("_u")), "thread_id", "left")
     merged = joined.select("thread_id", F.concat("messages", F.coalesce("_u", F.array().cast(MESSAGES))).alias("messages"), "meta")
     if not compress:
         return merged
     sized = merged.withColumn("_t", message_tokens())
     small = sized.filter(F.col("_t") <= context_window).drop("_t")
-    large = to_states(compress_completed(to_records(sized.filter(F.col("_t") > context_window).drop("_t"))))
+    large = to_states(reducer(to_records(sized.filter(F.col("_t") > context_window).drop("_t"))))
     return small.unionByName(large)
 
 
+def from_messages(spark, threads: dict[str, list], meta: dict[str, str] | None = None) -> DataFrame:
+    """States from message objects or dicts on the driver; the type of an object without one follows from what it has."""
+    import json
+
+    def plain(m) -> dict:
+        for name in ("model_dump", "dict"):
+            if callable(getattr(m, name, None)):
+                return getattr(m, name)()
+        return dict(m) if isinstance(m, dict) else vars(m)
+
+    def row(m) -> tuple:
+        d = plain(m)
+        kind = d.get("type") or {"user": "human", "assistant": "ai", "system": "system", "tool": "tool"}.get(d.get("role")) or ("tool" if d.get("tool_call_id") else "ai" if d.get("tool_calls") else "human")
+        calls = [(c.get("id"), c.get("name"), c["args"] if isinstance(c.get("args"), str) else json.dumps(c.get("args") or {})) for c in d.get("tool_calls") or []]
+        content = d.get("content")
+        return kind, d.get("id"), content if content is None or isinstance(content, str) else json.dumps(content), d.get("tool_call_id"), calls or None
+
+    rows = [(t, [row(m) for m in messages], (meta or {}).get(t, "{}")) for t, messages in threads.items()]
+    return spark.createDataFrame(rows, f"thread_id string, messages {MESSAGES}, meta string")
+
+
+# -- checkpoints ----------------------------------------------------------------------------
+# A table (thread_id, namespace, version, data, metadata): snapshots of threads, the highest version being the latest.
+
+CHECKPOINTS = "thread_id string, namespace string, version bigint, data binary, metadata string"
+
+
+def put_checkpoint(table: DataFrame, new: DataFrame) -> DataFrame:
+    """The table with new(thread_id, namespace, data, metadata) as the next version of each thread and namespace."""
+    last = table.groupBy("thread_id", "namespace").agg(F.max("version").alias("_v"))
+    numbered = new.join(last, ["thread_id", "namespace"], "left").withColumn("version", F.coalesce("_v", F.lit(0)) + 1)
+    return table.unionByName(numbered.select(*table.columns))
+
+
+def list_checkpoints(table: DataFrame, thread_id: str | None = None, namespace: str | None = None, before: int | None = None) -> DataFrame:
+    """Checkpoints that match, the latest first by thread and namespace."""
+    for given, test in ((thread_id, F.col("thread_id") == thread_id), (namespace, F.col("namespace") == namespace), (before, F.col("version") < before)):
+        if given is not None:
+            table = table.filter(test)
+    return table.orderBy("thread_id", "namespace", F.col("version").desc())
+
+
+def latest_checkpoints(table: DataFrame) -> DataFrame:
+    return prune(table, 1)
+
+
+def prune(table: DataFrame, keep: int = 1) -> DataFrame:
+    """The latest ``keep`` versions of each thread and namespace."""
+    w = Window.partitionBy("thread_id", "namespace").orderBy(F.col("version").desc())
+    return table.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
+
+
+def delete_thread(table: DataFrame, thread_id: str) -> DataFrame:
+    return table.filter(~F.col("thread_id").eqNullSafe(F.lit(thread_id)))
+
+
+def copy_thread(table: DataFrame, source: str, target: str) -> DataFrame:
+    """The table with all checkpoints of a thread under another name as well, in place of what that had."""
+    copied = table.filter(F.col("thread_id") == source).withColumn("thread_id", F.lit(target))
+    return delete_thread(table, target).unionByName(copied)
+
+
 # -- store ----------------------------------------------------------------------------------
 
 

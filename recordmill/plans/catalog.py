@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,16 +196,21 @@ def orphan_results(spark, sf_dir):
     return validate.orphan_results(dirty(spark, sf_dir)).select("payload_id", "pos", "id")
 
 
+_WRONG = """CASE WHEN thread_id = '' THEN ['thread_id', 'non-empty string', 'empty string', 'give every record a thread']
+  WHEN id = '' THEN ['id', 'non-empty string', 'empty string', 'give every record an id'] WHEN step < 1 THEN ['step', 'integer >= 1', step::VARCHAR, 'count steps from 1']
+  WHEN step < before THEN ['step', concat('>= ', before), step::VARCHAR, 'steps of a thread must not go back']
+  WHEN type = 'tool' THEN ['status', '[done, error, pending, running]', status, 'use one of: done, error, pending, running'] ELSE ['status', '[done, error, timeout]', status, 'use one of: done, error, timeout'] END"""
+
+
 @query(
-    f"{CALLS}, {_DIRTY}, bad AS (SELECT payload_id, 0 AS phase, pos, coalesce({_ROWCHECK}, {_STEPCHECK}, {_ENUMCHECK}) AS message FROM prev "
-    "UNION ALL SELECT payload_id, 1, pos, printf('row %d: res id ''%s'' has no matching tool row', pos, id) FROM dirty r WHERE type = 'res' "
+    f"{CALLS}, {_DIRTY}, bad AS (SELECT payload_id, 0 AS phase, pos, coalesce({_ROWCHECK}, {_STEPCHECK}, {_ENUMCHECK}) AS message, {_WRONG} AS w FROM prev "
+    "UNION ALL SELECT payload_id, 1, pos, printf('row %d: res id ''%s'' has no matching tool row', pos, id), ['id', concat('tool row with id=', id), 'no matching tool row', 'add the tool row or correct the id'] FROM dirty r WHERE type = 'res' "
     "AND NOT EXISTS (SELECT 1 FROM dirty t WHERE t.type = 'tool' AND t.payload_id = r.payload_id AND t.id = r.id)), "
-    "first AS (SELECT payload_id, message, row_number() OVER (PARTITION BY payload_id ORDER BY phase, pos) AS rn, pos FROM bad WHERE message IS NOT NULL) "
-    "SELECT p.payload_id, f.message IS NULL AS ok, f.message, f.pos AS \"row\" FROM (SELECT DISTINCT payload_id FROM dirty) p LEFT JOIN first f ON p.payload_id = f.payload_id AND f.rn = 1"
+    "first AS (SELECT payload_id, message, w, row_number() OVER (PARTITION BY payload_id ORDER BY phase, pos) AS rn, pos FROM bad WHERE message IS NOT NULL) "
+    "SELECT p.payload_id, f.message IS NULL AS ok, f.message, f.pos AS \"row\", f.w[1] AS field, f.w[2] AS expected, f.w[3] AS got, f.w[4] AS suggestion FROM (SELECT DISTINCT payload_id FROM dirty) p LEFT JOIN first f ON p.payload_id = f.payload_id AND f.rn = 1"
 )
 def validate_payload(spark, sf_dir):
-    return validate.validate(dirty(spark, sf_dir)).select("payload_id", "ok", "violation.message", "violation.row")
-
+    return validate.validate(dirty(spark, sf_dir)).select("payload_id", "ok", "violation.*")
 
 
 @query(
@@ -383,13 +388,90 @@ def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.col("payload_id").alias("source"), F.concat(F.lit("Here it is:\n```\n"), body, F.lit("```\n")).alias("raw"))
 
 
+_REPAIRED = (
+    f"{sql_views('msg')}, {LINES}, k AS (SELECT payload_id, CAST(substr(payload_id, 2) AS BIGINT) % 7 <> 6 AS repaired, "
+    "string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (turn = 2 AND CAST(substr(thread_id, 2) AS BIGINT) % 5 = 0)) AS body, count(*) FILTER (NOT (turn = 2 AND CAST(substr(thread_id, 2) AS BIGINT) % 5 = 0)) AS n FROM lines GROUP BY payload_id) "
+)
+_ERROR = "concat('{magic}', chr(10), 'records: 1', chr(10), 'err|er_val_001|REPAIR|1|VALIDATION_FAILED|', {problem}, '|validator|F', chr(10))"
+
+
 @query(
-    f"{sql_views('msg')} SELECT payload_id AS source, CAST(substr(payload_id, 2) AS BIGINT) % 7 <> 6 AS repaired, "
-    "CASE WHEN CAST(substr(payload_id, 2) AS BIGINT) % 7 <> 6 THEN count(*) FILTER (NOT (turn = 2 AND CAST(substr(thread_id, 2) AS BIGINT) % 5 = 0)) ELSE 1 END AS n FROM rec GROUP BY payload_id"
+    f"{_REPAIRED} SELECT payload_id AS source, repaired, CASE WHEN repaired THEN concat('{schema.MAGIC}', chr(10), 'payload_id: ', payload_id, chr(10), 'records: ', n, chr(10), body, chr(10)) "
+    f"ELSE {_ERROR.format(magic=schema.MAGIC, problem=f"'no ''{schema.MAGIC}'' line found'")} END AS payload FROM k"
 )
 def repair_output(spark, sf_dir):
-    fixed = payload.repair(_broken(spark, sf_dir))
-    return fixed.select("source", "repaired", F.regexp_extract("payload", r"records: (\d+)", 1).cast("bigint").alias("n"))
+    return payload.repair(_broken(spark, sf_dir)).select("source", "repaired", "payload")
+
+
+@query(
+    f"{_REPAIRED}, c AS (SELECT payload_id, count(*) FILTER (turn = 2 AND CAST(substr(thread_id, 2) AS BIGINT) % 5 = 0) AS cut FROM rec GROUP BY payload_id) SELECT payload_id AS source, false AS repaired, "
+    f"{_ERROR.format(magic=schema.MAGIC, problem=f"CASE WHEN NOT repaired THEN 'no ''{schema.MAGIC}'' line found' WHEN cut > 0 THEN printf('%d rows can''t be read', cut) ELSE 'wrong number of records' END")} AS payload FROM k JOIN c USING (payload_id)"
+)
+def repair_strict(spark, sf_dir):
+    return payload.repair(_broken(spark, sf_dir), strict=True).select("source", "repaired", "payload")
+
+
+@query(f"{ALL} SELECT {', '.join(chr(34) + c + chr(34) for c in schema.WIDE if c not in ('from_agent', 'to_agent'))} FROM rec")
+def decode_meta(spark, sf_dir):
+    """Records with extra fields written as payloads and read again by their own headers."""
+    texts = payload.encode_payloads(records(spark, sf_dir), ("priority", "parent_id")).select(F.col("payload_id").alias("source"), "payload")
+    return payload.decode_payloads(texts).drop("from_agent", "to_agent")
+
+
+@query(
+    f"{sql_views('msg')} SELECT payload_id AS source, CASE n % 5 WHEN 1 THEN 'magic line missing' WHEN 2 THEN 'records line missing' WHEN 3 THEN 'wrong number of records' ELSE 'row 1 can''t be read' END AS problem "
+    "FROM (SELECT DISTINCT payload_id, CAST(substr(payload_id, 2) AS BIGINT) AS n FROM rec) WHERE n % 5 > 0"
+)
+def decode_errors(spark, sf_dir):
+    """What is wrong with payloads that can't be read."""
+    n = F.substring("payload_id", 2, 9).cast("int") % 5
+    texts = payload.encode_payloads(records(spark, sf_dir, messages))
+    broken = F.when(n == 1, F.concat(F.lit("x"), "payload")).when(n == 2, F.replace("payload", F.lit("records: "), F.lit("rows: "))).when(n == 3, F.concat("payload", F.lit("msg\n")))
+    broken = broken.when(n == 4, F.regexp_replace("payload", r"(records: \d+\n)msg\|", "$1msg|||")).otherwise(F.col("payload"))
+    return payload.unreadable(texts.select(F.col("payload_id").alias("source"), broken.alias("payload")))
+
+
+@query(f"{sql_views('mem')}, {LINES} SELECT payload_id, concat('{schema.MAGIC}', chr(10), 'payload_id: ', payload_id, chr(10), 'records: ', count(*), chr(10), string_agg(line, chr(10) ORDER BY pos), chr(10)) AS payload FROM lines GROUP BY payload_id")
+def payload_slices(spark, sf_dir):
+    """Payloads cut into slices of bytes and put together again."""
+    return payload.join_slices(payload.slices(payload.encode_payloads(records(spark, sf_dir, memories)), 1000))
+
+
+@query(f"{sql_views('msg')}, {LINES} SELECT CAST(substr(payload_id, 2) AS BIGINT) AS seq, concat('{schema.MAGIC}', chr(10), 'payload_id: ', payload_id, chr(10), 'records: ', count(*), chr(10), string_agg(line, chr(10) ORDER BY pos), chr(10)) AS payload FROM lines GROUP BY payload_id")
+def log_roundtrip(spark, sf_dir):
+    """A replay log written and read."""
+    texts = payload.encode_payloads(records(spark, sf_dir, messages))
+    log = texts.select(F.substring("payload_id", 2, 9).cast("bigint").alias("seq"), F.lit(0.0).alias("timestamp"), F.create_map(F.lit("k"), F.lit("v")).alias("meta"), "payload")
+    path = store.folder(spark, "log")
+    tabular.write_log(log, path)
+    return tabular.read_log(spark, path).select("seq", "payload")
+
+
+schema.MIGRATIONS["0.9.0", "1.0.0"] = lambda df: df.withColumn("confidence", F.when(F.col("type") == "mem", F.coalesce("confidence", F.lit(1.0))).otherwise(F.col("confidence")))
+
+
+@query(f"{sql_views('mem')} SELECT payload_id, pos, 1.0::DOUBLE AS confidence FROM rec")
+def migrate_schema(spark, sf_dir):
+    """Memories without a confidence, as an older schema had them, migrated."""
+    old = records(spark, sf_dir, memories).withColumn("confidence", F.lit(None).cast("double"))
+    return schema.migrate(old, "0.9.0", schema.VERSION).select("payload_id", "pos", "confidence")
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{}' WHEN event_id % 4 = 1 THEN concat('{\"_raw\":\"x', event_id, '\"}') ELSE props END AS meta, event_id % 3 = 0 AS same FROM events"
+)
+def raw_fallback(spark, sf_dir):
+    """JSON texts, with others kept as raw; and deep equality of numbers and NaN."""
+    e = read(spark, sf_dir, "events")
+    given = F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("x"), "event_id")).when(F.col("event_id") % 4 > 1, F.col("props"))
+    other = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("double")).when(F.col("event_id") % 3 == 1, float("nan"))
+    return e.select("event_id", scalar.json_or_raw(given).alias("meta"), scalar.same_value("event_id", other).alias("same"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey < 128 THEN printf('%02X', o_orderkey) WHEN o_orderkey < 256 THEN printf('CC%02X', o_orderkey) WHEN o_orderkey < 65536 THEN printf('CD%04X', o_orderkey) ELSE printf('CE%08X', o_orderkey) END AS packed FROM orders")
+def message_pack(spark, sf_dir):
+    packed = F.pandas_udf(lambda s: s.map(codec.msgpack), "binary")
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.hex(packed("o_orderkey")).alias("packed"))
 
 
 _CSV = ["id", "thread_id", "step", "role", "turn", "content", "tokens", "flagged", "ttl"]
@@ -427,12 +509,16 @@ def json_roundtrip(spark, sf_dir):
     return tabular.from_json(tabular.to_json(records(spark, sf_dir)))
 
 
+_JSON = ", ".join(f'"{c}" := "{c}"' for c in schema.WIDE if c not in ("payload_id", "pos"))
+
+
 @query(
-    f"{sql_views('mem')}, {LINES}, p AS (SELECT payload_id, length(concat('{schema.MAGIC}', chr(10), 'payload_id: ', payload_id, chr(10), 'records: ', count(*), chr(10))) + sum(length(line) + 1) AS payload_chars FROM lines GROUP BY payload_id) "
-    "SELECT payload_id, payload_chars::BIGINT AS payload_chars FROM p"
+    f"{sql_views('mem')}, {LINES}, p AS (SELECT payload_id, (length(concat('{schema.MAGIC}', chr(10), 'payload_id: ', payload_id, chr(10), 'records: ', count(*), chr(10))) + sum(length(line) + 1))::BIGINT AS payload_chars, "
+    f"length(to_json(list(struct_pack({_JSON}) ORDER BY pos))::VARCHAR)::BIGINT AS json_chars FROM lines GROUP BY payload_id) "
+    "SELECT *, round(100.0::DOUBLE * (json_chars - payload_chars) / json_chars, 1) AS saving_pct FROM p"
 )
 def size_compare(spark, sf_dir):
-    return tabular.size_compare(records(spark, sf_dir, memories)).filter("json_chars > payload_chars").select("payload_id", "payload_chars")
+    return tabular.size_compare(records(spark, sf_dir, memories))
 
 
 # -- scalar functions -----------------------------------------------------------------------
@@ -459,11 +545,11 @@ def count_tokens_overhead(spark, sf_dir):
 
 @query(
     "SELECT conv_id, turn, list_reduce(list_prepend(2166136261::UBIGINT, list_transform(range(1, strlen(role || thread) + 1), lambda i: ('0x' || substr(hex(encode(role || thread)), 2 * i - 1, 2))::UBIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)::BIGINT AS hash "
-    "FROM (SELECT *, concat(conv_id, left(text, 20)) AS thread FROM conversations)"
+    "FROM (SELECT *, concat(conv_id, text) AS thread FROM conversations)"
 )
 def fnv1a(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", scalar.fnv1a(F.concat("role", F.col("conv_id").cast("string"), F.substring("text", 1, 20))).alias("hash"))
+    return c.select("conv_id", "turn", scalar.fnv1a(F.concat("role", F.col("conv_id").cast("string"), "text")).alias("hash"))
 
 
 def _zz(x: str) -> str:
@@ -572,6 +658,13 @@ def pack_bits(spark, sf_dir):
     return profile.pack_bits(records(spark, sf_dir, messages).withColumn("mine", F.col("role") == "user"), "payload_id", "pos", "mine")
 
 
+@query(f"{sql_views('msg')} SELECT payload_id, pos, role = 'user' AS mine FROM rec")
+def bits_roundtrip(spark, sf_dir):
+    df = records(spark, sf_dir, messages).withColumn("mine", F.col("role") == "user")
+    size = df.groupBy("payload_id").agg(F.count("*").alias("n"))
+    return profile.unpack_bits(profile.pack_bits(df, "payload_id", "pos", "mine").join(size, "payload_id"), "payload_id", "pos", "mine")
+
+
 @query(f"{sql_views('cot')} SELECT payload_id, (pos - 1) // 100 AS block, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM rec GROUP BY ALL")
 def window_blocks(spark, sf_dir):
     blocks = profile.window_blocks(records(spark, sf_dir, thoughts), "payload_id", "pos", 100)
@@ -652,6 +745,37 @@ def store_search(spark, sf_dir):
     return state.search(state.put(old, items), ["geo", "r2"], 3, 1).select("version", "key", F.element_at("namespace", 2).alias("region"))
 
 
+@query("SELECT CASE WHEN n_regionkey = 0 THEN 'got' ELSE 'left' END AS what, n_name AS key FROM nation WHERE n_nationkey % 2 = 0 OR (n_regionkey = 0 AND n_nationkey % 2 = 1) UNION ALL SELECT DISTINCT 'namespace', concat('r', n_regionkey) FROM nation")
+def store_items(spark, sf_dir):
+    """Items got one by one, deleted one by one, and namespaces."""
+    n = read(spark, sf_dir, "nation")
+    items = n.select(F.array(F.lit("geo"), F.concat(F.lit("r"), "n_regionkey")).alias("namespace"), F.col("n_name").alias("key"), F.lit("v").alias("value"), F.lit(1).cast("bigint").alias("version"))
+    names = [(r.n_name, r.n_regionkey, r.n_nationkey) for r in n.collect()]  # 25 rows
+    got = [state.get(items, ["geo", "r0"], name) for name, region, _ in names if region == 0]
+    left = items.filter("namespace[1] <> 'r0'")
+    for name, region, k in names:
+        if k % 2:
+            left = state.delete(left, ["geo", f"r{region}"], name)
+    out = left.select(F.lit("left").alias("what"), "key")
+    for g in got:
+        out = out.unionByName(g.select(F.lit("got").alias("what"), "key"))
+    return out.unionByName(state.namespaces(items, 2).select(F.lit("namespace").alias("what"), F.col("namespace")[1].alias("key")))
+
+
+@query(
+    "WITH v AS (SELECT concat('c', o_custkey) AS thread_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderkey FROM orders), "
+    "p AS (SELECT thread_id, version, o_orderkey FROM v WHERE version > n - 2 AND thread_id <> 'c1') SELECT * FROM p UNION ALL SELECT 'copy', version, o_orderkey FROM p WHERE thread_id = 'c2'"
+)
+def checkpoint_table(spark, sf_dir):
+    """Checkpoints pruned to two by thread, one thread deleted, one copied."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    table = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), "o_custkey").alias("thread_id"), F.lit("").alias("namespace"), F.row_number().over(w).cast("bigint").alias("version"), F.encode(F.lit("x"), "UTF-8").alias("data"), F.col("o_orderkey").cast("string").alias("metadata"),
+    )
+    out = state.list_checkpoints(state.copy_thread(state.delete_thread(state.prune(table, 2), "c1"), "c2", "copy"))
+    return out.select("thread_id", "version", F.col("metadata").cast("bigint").alias("o_orderkey"))
+
+
 # -- replay and streams ---------------------------------------------------------------------
 
 
@@ -678,7 +802,7 @@ def _streamed(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in"), f"{folder}/state"
 
 
-@query("SELECT event_type AS session_id, concat('u', user_id) AS id, 'all' AS thread_id, event_id % 3 AS step, count(DISTINCT 1) AS n FROM events GROUP BY ALL")
+@query("SELECT event_type AS session_id, concat('u', user_id) AS id, 'all' AS thread_id, event_id % 3 AS step, 1::BIGINT AS n FROM events GROUP BY ALL")
 def stream_dedup(spark, sf_dir):
     events = read(spark, sf_dir, "events").select(F.col("event_type").alias("session_id"), F.concat(F.lit("u"), "user_id").alias("id"), F.lit("all").alias("thread_id"), (F.col("event_id") % 3).alias("step"))
     stream, folder = _streamed(spark, events)
@@ -687,16 +811,38 @@ def stream_dedup(spark, sf_dir):
 
 @query(f"{CALLS}, {_DIRTY} SELECT payload_id, thread_id, pos, step, before AS previous FROM prev WHERE step < before")
 def stream_step_check(spark, sf_dir):
-    rows = dirty(spark, sf_dir).select("payload_id", "thread_id", "pos", "step").coalesce(1).sortWithinPartitions("payload_id", "pos")
+    rows = dirty(spark, sf_dir).select("payload_id", "thread_id", "pos", "step").repartition("payload_id").sortWithinPartitions("payload_id", "pos")
     stream, folder = _streamed(spark, rows)
     return stateful.drain(stateful.backward_steps(stream), folder=folder)
 
 
-@query(f"{sql_views('mem')}, b AS (SELECT payload_id, (pos - 1) // 50 AS block, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM rec GROUP BY ALL) SELECT * FROM b WHERE n = 50")
+@query(f"{sql_views('mem')} SELECT payload_id, (pos - 1) // 50 AS block, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM rec GROUP BY ALL")
 def stream_count_windows(spark, sf_dir):
-    rows = records(spark, sf_dir, memories).select("payload_id", "pos").coalesce(1).sortWithinPartitions("payload_id", "pos")
+    rows = records(spark, sf_dir, memories).select("payload_id", "pos").repartition("payload_id").sortWithinPartitions("payload_id", "pos")
+    stream, folder = _streamed(spark, rows)
+    return stateful.complete_windows(stateful.drain(stateful.count_windows(stream, "payload_id", 50), "update", folder), "payload_id")
+
+
+@query(
+    f"{sql_views('msg')}, t AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY pos) AS i FROM rec), f AS (SELECT thread_id, i, CASE WHEN tokens > 60 THEN 0 ELSE tokens END AS used, (tokens > 60)::BIGINT AS overflows FROM t WHERE i = 1 "
+    "UNION ALL SELECT t.thread_id, t.i, CASE WHEN f.used + t.tokens > 60 THEN 0 ELSE f.used + t.tokens END, f.overflows + (f.used + t.tokens > 60)::BIGINT FROM f JOIN t ON t.thread_id = f.thread_id AND t.i = f.i + 1) "
+    "SELECT thread_id, arg_max(used, i)::BIGINT AS used, max(overflows) AS overflows FROM f GROUP BY thread_id"
+)
+def stream_budget(spark, sf_dir):
+    """Tokens of each thread since it last went beyond a budget."""
+    rows = records(spark, sf_dir, messages).select("thread_id", "pos", "tokens").repartition("thread_id").sortWithinPartitions("thread_id", "pos")
     stream, folder = _streamed(spark, rows)
-    return stateful.drain(stateful.count_windows(stream, "payload_id", 50), folder=folder)
+    updates = stateful.drain(stateful.token_budget(stream, 60), "update", folder)
+    return updates.groupBy("thread_id").agg(F.max(F.struct("overflows", "used")).alias("_l")).select("thread_id", "_l.used", "_l.overflows")
+
+
+@query(f"{sql_views('mem')}, {LINES} SELECT payload_id, pos, line FROM lines")
+def stream_encode(spark, sf_dir):
+    """Records written as rows by micro-batches."""
+    stream, folder = _streamed(spark, records(spark, sf_dir, memories))
+    out = f"{folder}/lines"
+    stateful.encode_batches(stream, lambda b: scalar.with_line(b).select("payload_id", "pos", "line"), out, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.option("basePath", out).parquet(f"{out}/epoch=*").drop("epoch")
 
 
 # -- sessions, bridges, snapshots -----------------------------------------------------------
@@ -765,10 +911,7 @@ def event_records(spark, sf_dir):
 
 @query(f"{CALLS} SELECT payload_id, pos, type, id, step, data FROM rec")
 def stream_decode(spark, sf_dir):
-    """Payload files read as a stream."""
-    folder = store.folder(spark, "streams")
-    # The text writer ends the last line itself.
-    files = payload.encode_payloads(calls(spark, sf_dir)).select(F.expr("left(payload, length(payload) - 1)").alias("value"), F.col("payload_id").alias("file"))
-    files.repartition("file").write.partitionBy("file").text(f"{folder}/in")
-    rows = stateful.decode_stream(spark, f"{folder}/in/*")
-    return stateful.drain(rows, folder=f"{folder}/state").select("payload_id", "pos", "type", "id", "step", "data")
+    """Lines of payloads read as they come."""
+    texts = payload.encode_payloads(calls(spark, sf_dir)).select(F.col("payload_id").alias("source"), F.posexplode(F.split("payload", "\n")).alias("line_no", "line"))
+    stream, folder = _streamed(spark, texts.repartition("source").sortWithinPartitions("source", "line_no"))
+    return stateful.drain(stateful.decode_lines(stream), folder=folder).select("payload_id", "pos", "type", "id", "step", "data")

@@ -64,3 +64,10 @@ def migrate(df: DataFrame, from_version: str, to_version: str) -> DataFrame:
     if (from_version, to_version) not in MIGRATIONS:
         raise ValueError(f"no migration from {from_version} to {to_version}")
     return df.transform(MIGRATIONS[from_version, to_version])
+
+
+def info() -> dict[str, object]:
+    """Versions and limits of the format, for a driver's log."""
+    import pyspark
+
+    return {"format": MAGIC, "schema_version": VERSION, "types": list(FIELDS), "meta": list(META), "pyspark": pyspark.__version__}

@@ -124,7 +124,13 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replay(log: DataFrame, from_seq: int = 0) -> DataFrame:
-    return log.filter(F.col("seq") >= from_seq)
+    """Entries from a number on, in order."""
+    return log.filter(F.col("seq") >= from_seq).orderBy("seq")
+
+
+def entry(log: DataFrame, seq: int) -> DataFrame:
+    """The entry of a number, or no row."""
+    return log.filter(F.col("seq") == seq)
 
 
 def replay_records(log: DataFrame) -> DataFrame:

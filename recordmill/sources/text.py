@@ -9,13 +9,14 @@ import json
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from recordmill import schema
-from recordmill.operators.codec import _plain, build_pool, strategy
+from recordmill.operators.codec import build_pool, rows_of, strategy
 
 _PLAIN, _CODED = "\\\t\n\r,;", "\\tnrcs"
 
@@ -124,24 +125,29 @@ def encode_tables(df: DataFrame, group: str, order: str, columns: list[str]) ->
     """(group, text) of each group's rows in order."""
     packed = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *(F.col(f"`{c}`") for c in columns)))).alias("_r"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({group: b[group], "text": [encode_text([{c: _plain(r[c]) for c in columns} for r in rs]) for rs in b["_r"]]})
+            texts = pa.array([encode_text(rows_of(rs, columns)) for rs in b.column(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), texts], [group, "text"])
 
-    return packed.mapInPandas(run, f"`{group}` {df.schema[group].dataType.simpleString()}, text string")
+    return packed.mapInArrow(run, f"`{group}` {df.schema[group].dataType.simpleString()}, text string")
 
 
 def decode_tables(texts: DataFrame, group: str, fields: T.StructType) -> DataFrame:
     """Rows of texts(group, text) with their number ``row``, from 1."""
     names = [f.name for f in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(g, i, *(r.get(c) for c in names)) for g, t in zip(b[group], b["text"], strict=True) for i, r in enumerate(decode_text(t), 1)]
-            yield pd.DataFrame(out, columns=[group, "row", *names], dtype=object)
+            for k in range(b.num_rows):
+                records = decode_text(b.column(1)[k].as_py())
+                cells = [pa.array([r.get(c) for r in records], t) for c, t in zip(names, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[k], len(records)), pa.array(range(1, len(records) + 1), pa.int64()), *cells], [group, "row", *names])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return texts.mapInPandas(run, f"`{group}` {texts.schema[group].dataType.simpleString()}, row bigint, {ddl}")
+    return texts.select(group, "text").mapInArrow(run, f"`{group}` {texts.schema[group].dataType.simpleString()}, row bigint, {ddl}")
 
 
 def system_prompt(examples: bool = True, checks: bool = True, magic: str = schema.MAGIC) -> str:
