@@ -4,10 +4,8 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
 
 import corpus_pipeline as cp
-from recordmill.llm import quality
 from recordmill.llm.token_counts import VOCABULARY, encoding
 
 
@@ -85,9 +83,29 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(str, cp.run(spark, d).collect())) == sorted(map(str, docs.collect()))
 
 
-def test_quality_stage_keeps_what_the_model_keeps():
-    x = quality.statistics(pa.array(["some words here.", ""]))
-    assert x.shape == (2, len(quality.FEATURES))
+def test_nulls_repeats_long_texts_and_other_columns(spark, tmp_path):
+    rows, labels, items, good, _ = corpus()
+    d = str(tmp_path)
+    long = "\n".join(f"row {i} of a long text, " + " ".join(good[i % 100]) for i in range(400))
+    rows = rows[:130] + [(None, rows[30][1]), (None, "\n".join(good[66])), (31, rows[31][1]), (31, rows[31][1]), (600, long), (None, None), (601, "İ Ⱥ " + rows[90][1])]
+    docs = [(i, t, "en", None, None if t is None else len(t), i, "x", {"a": 1}) for i, t in rows]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, item_id bigint, _spans string, line map<string,int>"
+    spark.createDataFrame(docs, names).repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([*labels, (None, 1, 1), (30, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([*enumerate(items), (None, None), (9, "")], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    at = first = spark.read.parquet(f"{d}/documents.parquet")
+    for k, (_, stage) in enumerate(cp.STAGES[:4]):
+        stage(spark, at, d).write.parquet(f"{d}/out{k}")
+        at = spark.read.parquet(f"{d}/out{k}")
+        assert at.schema == first.schema
+    left = at.collect()
+    assert all(r.n_chars == len(r.text) and r._spans == "x" and r.line == {"a": 1} and r.item_id == r.doc_id for r in left)
+    # Rows without an id pass the dedup stages, repeated rows stay together, the benchmark's passage is cut from both.
+    assert sum(r.doc_id is None for r in left) == 2 and sum(r.doc_id == 31 for r in left) == 3 and sum(r.doc_id == 600 for r in left) == 1
+    phrases = {tuple(w[k : k + 8]) for t in items for w in [words_of(t)] for k in range(len(w) - 7)}
+    assert not any(tuple(w[k : k + 8]) in phrases for r in left for w in [words_of(r.text)] for k in range(len(w) - 7))
+    packed = cp.STAGES[4][1](spark, at, d).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in left}
 
 
 def test_empty_table(spark, tmp_path):
