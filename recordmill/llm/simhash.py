@@ -2,17 +2,16 @@
 
 A document's signature is the 128-bit SimHash of its set of words (case folded). Documents are
 near duplicates at a Hamming distance of at most ``RADIUS``. Equal signatures are collapsed first.
-Candidates share all sampled bits of one of several tables: at least ``KEY_BITS`` bits and ``TABLES`` tables, and with
-the number of signatures more bits, so that a bucket's chance neighbours don't grow with the corpus, and as many more tables as
-keep the recall. In a bucket, signatures are stored as bit planes, 64 of them to a
-machine word; a query is compared with 64 others at a time, its distances kept in carry-save bitwise
-counters, and blocks are abandoned once all of their distances exceed the radius. Groups are the
+The search is exact. Signatures are put into blocks by a hash, and a task for each two blocks (and each block with
+itself) finds all of their pairs: the 128 bits are cut into chunks, each with a threshold, so that a pair within the radius
+is within the threshold in one chunk at least (if it weren't in any, its distance would be over the radius). One block is ordered by the
+chunk, and the signatures of the other look up every value within the threshold of theirs. The number of chunks goes
+by the size of the blocks, for the least work; the pairs found are the same. Where a value has few
+signatures, they are compared one by one, and where it has many, as bit planes, 64 of them to a
+machine word: a query is compared with 64 others at a time, its distances kept in carry-save bitwise
+counters, and words are abandoned once all of their distances exceed the radius. Groups are the
 connected components of the near-duplicate pairs; the document of the smallest doc_id stays.
 
-The search is approximate: a pair at distance d is in some bucket with probability
-1 - (1 - (1 - d/128)^24)^48, 1.00 at 6, 0.98 at 13 and 0.56 at the radius itself, and more at smaller distances with more tables; pairs are usually
-linked by several others, and tests hold the recall of groups and pairs against brute force.
-
 Defined results: one row per input row (doc_id, group_id, keep). Texts without words (empty, blank
 or null ones among them) are in no group but their own. Rows of one doc_id are one document: they
 are in the same group and stay or go together. Rows with a null doc_id are kept, with a null group.
@@ -21,6 +20,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,20 +34,41 @@ from recordmill.llm import exchange as ex
 from recordmill.llm import textkit as tk
 from recordmill.llm.components import components, roots
 
-BITS, RADIUS, TABLES, KEY_BITS = 128, 20, 48, 24
+BITS, RADIUS = 128, 20
+BLOCK = 1 << 20  # signatures of a block at most, on average
+SPREAD = 24  # blocks of a corpus that fewer would do for, at most
+SLICED = 256  # signatures of a value from which on they are compared as bit planes
+STEP = 1 << 20  # pairs compared at a time
 LANE = np.uint64(0x0001000100010001)
-ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("sig", "<u8", 2)])
+ENTRY = np.dtype([("block", "<i4"), ("id", "<i8"), ("sig", "<u8", 2)])
+
+
+def blocks_for(signatures: int, targets: int) -> int:
+    """Blocks of so many signatures: of bounded size, and enough for about so many pairs of blocks."""
+    return max(-(-signatures // BLOCK), min(SPREAD, math.isqrt(2 * targets)), 1)
 
 
-def tables(signatures: int) -> tuple[int, int]:
-    """(bits, tables) for so many signatures: at most an eighth of a chance neighbour in a bucket, and at the radius the recall of KEY_BITS and TABLES."""
-    bits = max(KEY_BITS, math.ceil(math.log2(max(signatures, 1))) + 3)
-    return bits, math.ceil(TABLES / (1 - RADIUS / BITS) ** (bits - KEY_BITS))
+@lru_cache(maxsize=64)
+def chunks(size: int, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(bits, threshold) of the chunks that take the least work for blocks of so many signatures.
 
+    The thresholds and one for every chunk but the first add up to the radius.
+    """
+    best: tuple[float, list[tuple[int, int]]] = (math.inf, [])
+    for m in range(1, min(16, radius + 1) + 1):
+        total = radius - m + 1
+        found = [(BITS // m + (i < BITS % m), total // m + (i >= m - total % m)) for i in range(m)]
+        balls = [sum(math.comb(w, k) for k in range(t + 1)) for w, t in found]
+        # Nanoseconds: of lookups, of compared pairs, of the index.
+        work = sum(6 * size * n + (25 * size**2 * n / 2**w) + 20 * 2**w for n, (w, _) in zip(balls, found, strict=True))
+        best = min(best, (work, found))
+    return best[1]
 
-@lru_cache(maxsize=2)
-def samples(bits: int, count: int) -> np.ndarray:
-    return np.stack([np.random.default_rng(t).permutation(BITS)[:bits] for t in range(count)])
+
+@lru_cache(maxsize=64)
+def masks(bits: int, threshold: int) -> list[int]:
+    """Differences of so many bits with at most ``threshold`` ones."""
+    return [sum(1 << i for i in c) for k in range(threshold + 1) for c in itertools.combinations(range(bits), k)]
 
 
 def signatures(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,21 +115,23 @@ def planes_of(sig: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(sig).view(np.uint8).reshape(len(sig), 16), axis=1, bitorder="little")
 
 
-def entries(batch: pa.RecordBatch, bits: int = KEY_BITS, count: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
-    """A record for every (signature, table)."""
-    sig = np.stack([batch.column(i).to_numpy().astype(np.uint64) for i in (0, 1)], axis=1)
+def words_of(sig: np.ndarray) -> np.ndarray:
+    """Bit planes of signatures, 64 of them to a word."""
+    padded = np.zeros((-(-len(sig) // 64) * 64, 2), np.uint64)
+    padded[: len(sig)] = sig
+    return np.ascontiguousarray(np.packbits(planes_of(padded).T, axis=1, bitorder="little")).view(np.uint64)
+
+
+def entries(batch: pa.RecordBatch, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """A record of every signature for each pair of blocks that its own is in, with the number of the pair."""
     ids = batch.column(2).to_numpy()
-    b = planes_of(sig)
-    out = np.empty((count, len(sig)), ENTRY)
-    out["id"], out["sig"] = ids, sig
-    for t, sample in enumerate(samples(bits, count)):
-        packed = np.packbits(b[:, sample], axis=1).astype(np.uint64)
-        key = np.full(len(sig), np.uint64(t))
-        for column in packed.T:
-            key = key << np.uint64(8) | column
-        out["key"][t] = tk.mix(key)
-    out = out.ravel()
-    return out["key"], out
+    own = ex.target(ids, blocks).astype(np.int64)
+    out = np.empty((blocks, len(ids)), ENTRY)
+    out["block"], out["id"] = own, ids
+    out["sig"] = np.stack([batch.column(i).to_numpy().astype(np.uint64) for i in (0, 1)], axis=1)
+    other = np.arange(blocks)[:, None]
+    high, low = np.maximum(own, other), np.minimum(own, other)
+    return (high * (high + 1) // 2 + low).ravel(), out.ravel()
 
 
 class Counter:
@@ -155,24 +178,17 @@ class Counter:
         self.high = [x[alive] for x in self.high]
 
 
-def close_pairs(sig: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs i < j within the radius in each bucket begin[k]:end[k] of consecutive signatures."""
-    n = len(sig)
-    words = -(-n // 64)
-    padded = np.zeros((words * 64, 2), np.uint64)
-    padded[:n] = sig
-    planes = np.ascontiguousarray(np.packbits(planes_of(padded).T, axis=1, bitorder="little")).view(np.uint64)
-    stop = np.repeat(end, end - begin)
-    at = tk.ranges(begin, end - begin)
-    count = (stop - 1) // 64 - at // 64 + 1
+def sliced_pairs(sig: np.ndarray, at: np.ndarray, planes: np.ndarray, first: np.ndarray, stop: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within the radius of the signatures at ``at`` and first:stop of those in the planes."""
+    count = (stop - 1) // 64 - first // 64 + 1
     total = np.append(0, np.cumsum(count))
     step = 1 << 15
     lo = 0
     while lo < len(at):
         hi = max(lo + 1, int(np.searchsorted(total, total[lo] + step, side="right")) - 1)
         q = np.repeat(at[lo:hi], count[lo:hi])
-        w = tk.ranges(at[lo:hi] // 64, count[lo:hi])
-        left = np.maximum(q + 1 - w * 64, 0).astype(np.uint64)
+        w = tk.ranges(first[lo:hi] // 64, count[lo:hi])
+        left = np.maximum(np.repeat(first[lo:hi], count[lo:hi]) - w * 64, 0).astype(np.uint64)
         right = np.minimum(np.repeat(stop[lo:hi], count[lo:hi]) - w * 64, 64).astype(np.int64)
         full = ~np.uint64(0)
         live = np.where(right > 0, full >> (np.uint64(64) - np.maximum(right, 1).astype(np.uint64)), np.uint64(0))
@@ -201,21 +217,90 @@ def close_pairs(sig: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int
         lo = hi
 
 
+def close_pairs(sig: np.ndarray, begin: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j within the radius in each bucket begin[k]:end[k] of consecutive signatures."""
+    at = tk.ranges(begin, end - begin)
+    yield from sliced_pairs(sig, at, words_of(sig), at + 1, np.repeat(end, end - begin), radius)
+
+
+def chunk_of(sig: np.ndarray, lo: int, bits: int) -> np.ndarray:
+    """Bits lo:lo + bits of signatures as numbers."""
+    word, bit = divmod(lo, 64)
+    out = sig[:, word] >> np.uint64(bit)
+    if bit + bits > 64:
+        out = out | sig[:, 1] << np.uint64(64 - bit)
+    return (out & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def block_pairs(a: np.ndarray, b: np.ndarray, same: bool = False, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) of signatures a[i] and b[j] within the radius, some of them more than once; i < j if the blocks are the same."""
+    lo = 0
+    for bits, threshold in chunks(max(len(a), len(b)), radius):
+        ka, kb = chunk_of(a, lo, bits), chunk_of(b, lo, bits)
+        oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        ka = ka[oa]
+        size = np.bincount(kb, minlength=1 << bits)
+        begin = np.cumsum(size) - size
+        # The word that has less of the chunk tells more.
+        word = int(2 * lo + bits < BITS)
+        a1, a2, b1, b2 = (np.ascontiguousarray(x) for x in (a[oa, word], a[oa, 1 - word], b[ob, word], b[ob, 1 - word]))
+        sa, sb, planes = a[oa], b[ob], None
+        for mask in masks(bits, threshold):
+            value = ka ^ mask
+            n = size[value]
+            large = np.flatnonzero(n >= SLICED)
+            at = np.flatnonzero((n > 0) & (n < SLICED)) if len(large) else np.flatnonzero(n)
+            if len(large):
+                planes = words_of(sb) if planes is None else planes
+                first = begin[value[large]]
+                # Equal blocks are ordered alike, so that of equal values the later ones do.
+                start = np.maximum(first, large + 1) if same and not mask else first
+                for i, j in sliced_pairs(sa, large, planes, start, first + n[large], radius):
+                    yield ordered(oa[i], ob[j], same)
+            first, n = begin[value[at]], n[at]
+            total = np.append(0, np.cumsum(n))
+            s = 0
+            while s < len(at):
+                e = max(s + 1, int(np.searchsorted(total, total[s] + STEP, side="right")) - 1)
+                i, j = np.repeat(at[s:e], n[s:e]), tk.ranges(first[s:e], n[s:e])
+                d = np.bitwise_count(a1[i] ^ b1[j])
+                near = np.flatnonzero(d <= radius)
+                i, j = i[near], j[near]
+                near = d[near] + np.bitwise_count(a2[i] ^ b2[j]) <= radius
+                yield ordered(oa[i[near]], ob[j[near]], same)
+                s = e
+        lo += bits
+
+
+def ordered(i: np.ndarray, j: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    if same:
+        up = i < j
+        return i[up], j[up]
+    return i, j
+
+
 def compare(held: np.ndarray) -> Iterator[pa.RecordBatch]:
-    held = held[np.argsort(held["key"], kind="stable")]
-    cuts = np.flatnonzero(np.append(True, held["key"][1:] != held["key"][:-1]))
-    sizes = np.diff(np.append(cuts, len(held)))
-    many = sizes > 1
-    rows = held[np.repeat(many, sizes)]
-    end = np.cumsum(sizes[many])
-    begin = end - sizes[many]
-    ids, sig = np.ascontiguousarray(rows["id"]), np.ascontiguousarray(rows["sig"])
+    """A forest of the near duplicates among the blocks held: one with itself, or two with each other."""
+    numbers = np.unique(held["block"])
+    blocks = [held[held["block"] == n] for n in numbers]
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(rows):
-        for i, j in close_pairs(sig, begin, end):
-            x, y = np.concatenate([a, ids[i]]), np.concatenate([b, ids[j]])
-            node, root = roots(x, y)
-            a, b = node[node != root], root[node != root]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def shrink() -> tuple[np.ndarray, np.ndarray]:
+        node, root = roots(np.concatenate([a, *(x for x, _ in found)]), np.concatenate([b, *(y for _, y in found)]))
+        return node[node != root], root[node != root]
+
+    waiting = 0
+    for x, y in [(0, 0)] if len(blocks) == 1 else itertools.combinations(range(len(blocks)), 2):
+        one, two = blocks[x], blocks[y]
+        for i, j in block_pairs(np.ascontiguousarray(one["sig"]), np.ascontiguousarray(two["sig"]), x == y):
+            if len(i):
+                found.append((one["id"][i], two["id"][j]))
+                waiting += len(i)
+            if waiting > STEP:
+                a, b = shrink()
+                found, waiting = [], 0
+    a, b = shrink()
     yield ex.table("node root", a, b)
 
 
@@ -226,8 +311,10 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = tk.checkpoint(real.groupBy("hi", "lo").agg(F.min("doc_id").alias("_rep")))
     targets = ex.parts(docs)
     spread = reps.select("hi", "lo", "_rep").repartition(max(8, targets // 2))
-    bits, count = tables(reps.count())
-    near = ex.receive(ex.send(spread, targets, lambda batch: entries(batch, bits, count)), ENTRY, compare, "node bigint, root bigint")
+    blocks = blocks_for(reps.count(), targets)
+    pairs = blocks * (blocks + 1) // 2
+    sent = ex.send(spread, pairs, lambda batch: entries(batch, blocks), place=lambda pair, _: pair.astype(np.int32))
+    near = ex.receive(sent, ENTRY, compare, "node bigint, root bigint")
     equal = real.join(reps, ["hi", "lo"]).filter("doc_id <> _rep").select(F.col("doc_id").alias("node"), F.col("_rep").alias("root"))
     return signed, components(near.unionByName(equal), shrunk=True)
 

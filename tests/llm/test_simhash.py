@@ -96,9 +96,84 @@ def test_empty_table(spark):
     assert sh.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
-def test_tables_grow_with_the_signatures():
-    assert sh.tables(1) == sh.tables(1 << 20) == (sh.KEY_BITS, sh.TABLES)
-    recall = lambda bits, count, d: 1 - (1 - (1 - d / sh.BITS) ** bits) ** count
-    for n in (1 << 22, 1 << 26, 10**9):
-        bits, count = sh.tables(n)
-        assert n / 2**bits <= 1 / 8 and recall(bits, count, sh.RADIUS) >= recall(sh.KEY_BITS, sh.TABLES, sh.RADIUS) - 0.01
+def scattered(n, radius=sh.RADIUS):
+    """Pairs of signatures at the radius exactly, hardly any two pairs near each other, and some at one bit more."""
+    rng = np.random.default_rng(6)
+    one = rng.integers(0, 2**64, (n, 2), dtype=np.uint64)
+    two = one.copy()
+    for k in range(n):
+        for bit in rng.permutation(sh.BITS)[: radius + (k % 4 == 3)].tolist():
+            two[k, bit // 64] ^= np.uint64(1 << bit % 64)
+    return one, two
+
+
+def test_chunks_leave_no_pair_out():
+    for radius in (0, 3, sh.RADIUS, 33):
+        for size in (0, 1, 100, 30_000, 10**6):
+            found = sh.chunks(size, radius)
+            assert sum(bits for bits, _ in found) == sh.BITS
+            # A pair beyond the threshold in every chunk is beyond the radius.
+            assert sum(threshold + 1 for _, threshold in found) > radius
+    assert sorted(sh.masks(5, 2)) == [x for x in range(32) if x.bit_count() <= 2]
+
+
+def test_block_pairs_equal_brute_force(monkeypatch):
+    one, two = scattered(400)
+    rng = np.random.default_rng(7)
+    crowd = np.repeat(one[:1], 500, axis=0)  # so many in a bucket that bit planes are used
+    crowd[:, 1] ^= rng.integers(0, 2**22, 500, dtype=np.uint64)
+    sig = np.unique(np.concatenate([one, two, crowd]), axis=0)
+    sig = sig[rng.permutation(len(sig))]
+    a, b = sig[:700], sig[700:]
+
+    def near(x, y):
+        return np.bitwise_count(x[:, None] ^ y[None]).sum(axis=2) <= sh.RADIUS
+
+    def found(*args):
+        return {(int(i), int(j)) for x, y in sh.block_pairs(*args) for i, j in zip(x, y, strict=True)}
+
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(near(sig, sig)), strict=True) if i < j}
+    across = {(int(i), int(j)) for i, j in zip(*np.nonzero(near(a, b)), strict=True)}
+    for size in (None, 10_000, 100_000):
+        if size:  # chunks of larger blocks
+            found_at = sh.chunks(size)
+            monkeypatch.setattr(sh, "chunks", lambda *_, c=found_at: c)
+        assert found(sig, sig, True) == want and found(a, b) == across
+
+
+def test_every_pair_at_the_radius_is_linked():
+    # Pairs that nothing else links: sampled tables found a bit over half of them.
+    one, two = scattered(400)
+    ids = np.arange(400)
+    made = [pa.RecordBatch.from_arrays([pa.array(s[:, 0].astype(np.int64)), pa.array(s[:, 1].astype(np.int64)), pa.array(k)], ["hi", "lo", "_rep"]) for s, k in ((one, ids), (two, ids + 1000))]
+    got = set()
+    blocks = 5
+    parts, rows = (np.concatenate(x) for x in zip(*(sh.entries(batch, blocks) for batch in made), strict=True))
+    assert set(parts.tolist()) == set(range(blocks * (blocks + 1) // 2))
+    for p in range(blocks * (blocks + 1) // 2):
+        for batch in sh.compare(rows[parts == p]):
+            got |= set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    assert got == {(1000 + k, k) for k in range(400) if k % 4 != 3}
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    # Few words of a small vocabulary: many signatures near the radius.
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(150):
+        t = rng.integers(0, 500, 40)
+        rows.append((k, " ".join(f"w{x}" for x in t)))
+        t[rng.choice(40, 3, replace=False)] = rng.integers(1000, 2000, 3)
+        rows.append((1000 + k, " ".join(f"w{x}" for x in t)))
+    sig, _ = sh.signatures(pa.array([t for _, t in rows]))
+    i, j = np.nonzero(np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2) <= sh.RADIUS)
+    ids = np.array([k for k, _ in rows])
+    node, root = cc.roots(ids[i], ids[j])
+    got = {r.doc_id: r.group_id for r in sh.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == dict(zip(node.tolist(), root.tolist(), strict=True)) and len(set(got.values())) < 290
+
+
+def test_blocks_grow_with_the_signatures():
+    for n in (0, 1, 10**5, 10**7, 10**9):
+        for targets in (8, 64, 5000):
+            assert n <= sh.blocks_for(n, targets) * sh.BLOCK
