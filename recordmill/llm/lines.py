@@ -40,6 +40,35 @@ ENTRY = np.dtype([("key", "<u8"), ("line", "<u8")])
 FILTER_KEYS = 16_000_000
 GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 1 << 19, 1 << 18, 1 << 20
 LARGE = 20_000
+TRIMS = 16
+
+
+def trimmed(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without blanks at either end; of blank ones, empty spans."""
+    start, stop = begin.copy(), end.copy()
+    some = np.arange(len(begin))
+    for _ in range(TRIMS):
+        some = some[start[some] < stop[some]]
+        some = some[buf[start[some]] <= 32]
+        if not len(some):
+            break
+        start[some] += 1
+    back = np.arange(len(begin))
+    for _ in range(TRIMS):
+        back = back[start[back] < stop[back]]
+        back = back[buf[stop[back] - 1] <= 32]
+        if not len(back):
+            break
+        stop[back] -= 1
+    # Long blanks at once.
+    far = np.union1d(some, back)
+    if len(far):
+        ink = np.flatnonzero(buf > 32)
+        a, b = np.searchsorted(ink, begin[far]), np.searchsorted(ink, end[far])
+        blank = a == b
+        start[far] = np.where(blank, begin[far], np.append(ink, 0)[a])
+        stop[far] = np.where(blank, begin[far], np.append(ink, 0)[b - 1] + 1)
+    return start, stop
 
 
 class Lines:
@@ -59,13 +88,12 @@ class Lines:
         end = np.append(begin[1:] - 1, n)[: len(begin)]
         end[last] = off[1:][doc[last]]
         number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        ink = np.flatnonzero(self.buf > 32)
-        a, b = np.searchsorted(ink, begin), np.searchsorted(ink, end)
-        real = b > a
+        start, stop = trimmed(self.buf, begin, end)
+        real = stop > start
         self.all_doc, self.all_begin, self.all_end = doc, begin, end
         self.real = np.flatnonzero(real)
         self.doc, self.number = doc[real], number[real]
-        self.start, self.end = ink[a[real]], ink[b[real] - 1] + 1
+        self.start, self.end = start[real], stop[real]
         self.values = tk.byte_table()[self.buf]
         self.hash = tk.span_hash(self.values, self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
 
@@ -79,26 +107,40 @@ def shingles(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     pw, inv = tk.powers(n + 1)
     acc = np.zeros(n + 1, np.uint64)
     np.cumsum(values * pw[:n], out=acc[1:])
-    h = tk.mix((acc[K:] - acc[:-K]) * inv[: n - K + 1])
-    return np.repeat(np.arange(len(start)), count), h[tk.ranges(start, count)]
+    h = acc[K:] - acc[:-K]
+    h *= inv[: n - K + 1]
+    # Spans one behind the other: each shingle's place once, by a mask.
+    if len(start) and (start[1:] >= start[:-1] + count[:-1]).all():
+        edge = np.zeros(n + 1, np.int8)
+        edge[start[count > 0]] = 1
+        np.add.at(edge, (start + count)[count > 0], np.int8(-1))
+        return np.repeat(np.arange(len(start)), count), tk.mix(h[np.cumsum(edge[: len(h)], dtype=np.int8).view(bool)])
+    return np.repeat(np.arange(len(start)), count), tk.mix(h[tk.ranges(start, count)])
 
 
 def band_keys(line: np.ndarray, h: np.ndarray, lines: int) -> np.ndarray:
     """(lines, BANDS) keys from one-permutation signatures; empty bins borrow from the next one."""
-    sig = np.full(lines * BINS, NONE)
+    sig = np.full(BINS * lines, NONE)
     bin_ = ((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-    np.minimum.at(sig, line * BINS + bin_.astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    sig = sig.reshape(lines, BINS)
-    twice = np.concatenate([sig, sig], axis=1)
-    at = np.where(twice != NONE, np.arange(2 * BINS, dtype=np.int16), np.int16(4 * BINS))
-    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    far = (at - np.arange(BINS)).astype(np.uint64)
-    full = np.take_along_axis(sig, at.astype(np.int64) % BINS, axis=1).astype(np.uint64) + far * np.uint64(0x9E3779B97F4A7C15)
+    np.minimum.at(sig, bin_.view(np.int64) * lines + line, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    sig = sig.reshape(BINS, lines)
+    full = np.empty((BINS, lines), np.uint64)
+    # Round from the last bin to the first, twice, with the nearest value and how far it is.
+    value, far = np.full(lines, NONE), np.full(lines, 2 * BINS, np.uint64)
+    for b in range(2 * BINS - 1, -1, -1):
+        mine = sig[b % BINS]
+        empty = mine == NONE
+        value = np.where(empty, value, mine)
+        far += np.uint64(1)
+        far *= empty
+        if b < BINS:
+            np.multiply(far, np.uint64(0x9E3779B97F4A7C15), out=full[b])
+            full[b] += value
     out = np.empty((lines, BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(lines, np.uint64(b + 1))
         for r in range(ROWS):
-            key = tk.mix(key * tk.MULT + full[:, b * ROWS + r])
+            key = tk.mix(key * tk.MULT + full[b * ROWS + r])
         out[:, b] = key
     return out
 
@@ -130,7 +172,7 @@ def distinct_lines(ln: Lines, seen: Seen) -> np.ndarray:
     """Indexes of lines of at least K bytes that the task hasn't met."""
     _, pick = np.unique(ln.hash, return_index=True)
     pick = pick[ln.end[pick] - ln.start[pick] >= K]
-    return pick[seen.fresh(ln.hash[pick])]
+    return np.sort(pick[seen.fresh(ln.hash[pick])])
 
 
 def entries(part: pa.RecordBatch, seen: Seen) -> tuple[np.ndarray, np.ndarray]:

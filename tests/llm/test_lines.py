@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
 from recordmill.llm import lines as L
+from recordmill.llm import textkit as tk
 
 
 def clean(x):
@@ -148,3 +150,60 @@ def test_filter():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert L.duplicate_lines(empty).collect() == [] and L.deduplicated(empty).collect() == []
+
+
+def test_long_blanks_are_trimmed():
+    rng = np.random.default_rng(21)
+    spans = ["".join(rng.choice(list(" \t\r ab"), rng.integers(0, 60))) for _ in range(400)]
+    spans += [" " * 100 + "x y" + "\t" * 50, " " * 300, "", "z" + " " * 40, " " * 17 + "w"]
+    buf = np.frombuffer("".join(spans).encode(), np.uint8)
+    end = np.cumsum([len(x) for x in spans])
+    start, stop = L.trimmed(buf, end - [len(x) for x in spans], end)
+    assert [bytes(buf[a:b]).decode() for a, b in zip(start, stop, strict=True)] == [x.strip() for x in spans]
+
+
+def test_lines_need_no_place_of_every_byte():
+    text = pa.array(["some words of a line of text that goes on\n" * 24_000])
+    L.Lines(text)
+    tracemalloc.start()
+    L.Lines(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 33 bytes a byte of text before.
+    assert peak < 30 * len(text[0].as_py())
+
+
+def test_shingles_of_spans_in_any_order():
+    rng = np.random.default_rng(22)
+    values = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    start = np.array([0, 20, 40, 45, 45, 100, 480, 500])
+    end = np.array([20, 40, 45, 45, 100, 130, 500, 500])
+    owner, h = L.shingles(values, start, end)
+    assert owner.tolist() == [i for i, (a, b) in enumerate(zip(start, end, strict=True)) for _ in range(b - a - L.K + 1)]
+    for order in (np.arange(8)[::-1], rng.permutation(8)):
+        mixed, g = L.shingles(values, start[order], end[order])
+        assert all(g[mixed == k].tolist() == h[owner == i].tolist() for k, i in enumerate(order))
+    # Overlapping spans.
+    mixed, g = L.shingles(values, np.array([0, 0, 10]), np.array([20, 20, 40]))
+    assert g[mixed == 0].tolist() == g[mixed == 1].tolist() == h[owner == 0].tolist()
+
+
+def test_band_keys_against_a_loop():
+    rng = np.random.default_rng(23)
+    counts = [0, 1, 3, 40, 400]
+    line, h = np.repeat(np.arange(5), counts), rng.integers(0, 2**64, sum(counts), dtype=np.uint64)
+    got = L.band_keys(line, h, 5)
+    for i in range(1, 5):
+        sig = {}
+        for x in h[line == i].tolist():
+            at = (x >> 32) * L.BINS >> 32
+            sig[at] = min(sig.get(at, 1 << 32), x & 0xFFFFFFFF)
+        full = []
+        for b in range(L.BINS):
+            far = next(k for k in range(L.BINS) if (b + k) % L.BINS in sig)
+            full.append((sig[(b + far) % L.BINS] + far * 0x9E3779B97F4A7C15) % 2**64)
+        for b in range(L.BANDS):
+            key = np.array([b + 1], np.uint64)
+            for x in full[b * L.ROWS : (b + 1) * L.ROWS]:
+                key = tk.mix(key * tk.MULT + np.uint64(x))
+            assert got[i, b] == key[0]
