@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+ROWS = 300_000  # records of a bucket or a shuffle's partition, about
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -35,10 +36,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def save(df: DataFrame, kind: str = "kind", key: str = "payload_id", order: str = "pos", buckets: int | None = None) -> str:
-    """Store records with a column ``kind`` as a table of the session's catalog, in as many buckets as shuffles have partitions by default; its name."""
+def sized(spark: SparkSession, rows: int, each: int = ROWS) -> int:
+    """Partitions for so many rows, so that a task's share doesn't grow with the input; shuffles of the session get no fewer from now on."""
+    key, first = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    n = max(int(spark.conf.get(key)), -(-rows // each))
+    for k in (key, first):
+        if (have := spark.conf.get(k, None)) is not None and int(have) < n:
+            spark.conf.set(k, str(n))
+    return n
+
+
+def save(df: DataFrame, kind: str = "kind", key: str = "payload_id", order: str = "pos", buckets: int | None = None, placed: bool = False) -> str:
+    """Store records with a column ``kind`` as a table of the session's catalog, in as many buckets as shuffles have partitions by default; its name.
+
+    ``placed``: rows are partitioned by ``key`` into as many partitions as there are buckets, and sorted. They are written as they come then.
+    """
     spark = df.sparkSession
     name = f"records_{uuid.uuid4().hex}"
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.partitionBy(kind).bucketBy(n, key).sortBy(key, order).option("path", folder(spark, "records")).saveAsTable(name)
+    writer = df.write.partitionBy(kind).option("path", folder(spark, "records"))
+    if not placed:
+        writer.bucketBy(n, key).sortBy(key, order).saveAsTable(name)
+        return name
+    at = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(at, None)
+    spark.conf.set(at, "64")  # a file for each kind of a task's bucket is open at once, so that they need no sort
+    try:
+        writer.bucketBy(n, key).saveAsTable(name)
+    finally:
+        spark.conf.unset(at) if before is None else spark.conf.set(at, before)
     return name
