@@ -7,6 +7,7 @@ a JSON text of everything else.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,32 +26,39 @@ def _or(c: Column, prefix: str) -> Column:
 
 
 def to_records(states: DataFrame) -> DataFrame:
-    """Wide records of states, payload_id being the thread: people's, system's and plain model messages as msg, tool calls (their message's content is lost) as tool, answers as res, meta as a last mem."""
-    each = states.select("thread_id", "messages", F.posexplode("messages").alias("_i", "m")).withColumn("step", (F.col("_i") + 1).cast("bigint"))
-    m = F.col("m")
-    calls = F.when((m["type"] == "ai") & (F.size(m["tool_calls"]) > 0), m["tool_calls"])
+    """Wide records of states, one for each thread, payload_id being the thread: people's, system's and plain model messages as msg, tool calls (their message's content is lost) as tool, answers as res, meta as a last mem."""
+    # One pass over the messages: each gives its entries, and an entry its record.
+    call_type, message_type = CALLS[6:-1], MESSAGES[6:-1]
+    entries_type = f"array<struct<i:int,k:string,m:{message_type},c:{call_type}>>"
+    none = F.lit(None)
+
+    def entry(i: Column, kind: str, m: Column, c: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), F.lit(kind).alias("k"), m.cast(message_type).alias("m"), c.cast(call_type).alias("c"))
+
+    def entries(m: Column, i: Column) -> Column:
+        calls = F.transform(m["tool_calls"], lambda c: entry(i, "tool", m, c)).cast(entries_type)
+        one = lambda kind: F.array(entry(i, kind, m, none)).cast(entries_type)
+        of_model = F.when(F.size(m["tool_calls"]) > 0, calls).otherwise(one("msg"))
+        return F.when(m["type"] == "ai", of_model).when(m["type"].isin("human", "system"), one("msg")).when(m["type"] == "tool", one("res")).otherwise(F.array().cast(entries_type))
+
+    size = F.coalesce(F.size("messages"), F.lit(0))
+    every = F.concat(F.coalesce(F.flatten(F.transform("messages", entries)), F.array().cast(entries_type)), F.array(entry(size, "mem", none, none)).cast(entries_type))
+    rows = states.select("thread_id", "meta", F.posexplode(every).alias("_p", "_e"))
+    rows = rows.select("thread_id", "meta", (F.col("_p") + 1).cast("bigint").alias("pos"), F.col("_e.k").alias("type"), (F.col("_e.i") + 1).cast("bigint").alias("step"), F.col("_e.m").alias("m"), F.col("_e.c").alias("c"))
+    m, c, kind = F.col("m"), F.col("c"), F.col("type")
     content = F.coalesce(m["content"], F.lit(""))
     prefix = F.when(m["type"] == "human", "msg-").when(m["type"] == "system", "sys-").otherwise("ai-")
-    plain = each.filter(m["type"].isin("human", "system") | ((m["type"] == "ai") & calls.isNull())).select(
-        "thread_id", "step", F.lit(0).alias("_k"), F.lit("msg").alias("type"), F.coalesce(F.when(m["id"] != "", m["id"]), F.concat(prefix, F.col("step").cast("string"))).alias("id"),
-        F.when(m["type"] == "human", "user").when(m["type"] == "system", "system").otherwise("assistant").alias("role"), F.col("step").alias("turn"), content.alias("content"),
-        estimate_tokens(content).alias("tokens"), F.lit(False).alias("flagged"),
-    )
-    tool = each.filter(calls.isNotNull()).select("thread_id", "step", F.posexplode(calls).alias("_k", "c")).select(
-        "thread_id", "step", "_k", F.lit("tool").alias("type"), _or(F.col("c.id"), "tc-").alias("id"), F.coalesce("c.name", F.lit("")).alias("name"),
-        F.coalesce("c.args", F.lit("{}")).alias("args"), F.lit("pending").alias("status"),
-    )
-    res = each.filter(m["type"] == "tool").select(
-        "thread_id", "step", F.lit(0).alias("_k"), F.lit("res").alias("type"), _or(m["tool_call_id"], "res-").alias("id"), F.lit("tool_result").alias("name"), content.alias("data"),
-        F.lit("done").alias("status"), F.lit(0).cast("bigint").alias("latency_ms"),
-    )
-    last = states.select(
-        "thread_id", (F.coalesce(F.size("messages"), F.lit(0)) + 1).cast("bigint").alias("step"), F.lit(0).alias("_k"), F.lit("mem").alias("type"), F.lit("state-meta").alias("id"),
-        F.lit("agent_state").alias("key"), F.col("meta").alias("value"), F.lit(1.0).alias("confidence"),
-    )
-    every = plain.unionByName(tool, True).unionByName(res, True).unionByName(last, True)
-    w = Window.partitionBy("thread_id").orderBy("step", "_k")
-    return schema.widen(every.withColumn("pos", F.row_number().over(w).cast("bigint")).withColumn("payload_id", F.col("thread_id")))
+    plain_id = F.coalesce(F.when(m["id"] != "", m["id"]), F.concat(prefix, F.col("step").cast("string")))
+    of = lambda **by: reduce(lambda out, x: out.when(kind == x[0], x[1]), by.items(), F)
+    long = lambda n: F.lit(n).cast("bigint")
+    return schema.widen(rows.select(
+        F.col("thread_id").alias("payload_id"), "pos", "type", "thread_id", "step",
+        of(msg=plain_id, tool=_or(c["id"], "tc-"), res=_or(m["tool_call_id"], "res-"), mem=F.lit("state-meta")).alias("id"),
+        of(msg=F.when(m["type"] == "human", "user").when(m["type"] == "system", "system").otherwise("assistant")).alias("role"), of(msg=F.col("step")).alias("turn"),
+        of(msg=content).alias("content"), of(msg=estimate_tokens(content)).alias("tokens"), of(msg=F.lit(False)).alias("flagged"),
+        of(tool=F.coalesce(c["name"], F.lit("")), res=F.lit("tool_result")).alias("name"), of(tool=F.coalesce(c["args"], F.lit("{}"))).alias("args"), of(tool=F.lit("pending"), res=F.lit("done")).alias("status"),
+        of(res=content).alias("data"), of(res=long(0)).alias("latency_ms"), of(mem=F.lit("agent_state")).alias("key"), of(mem=F.col("meta")).alias("value"), of(mem=F.lit(1.0)).alias("confidence"),
+    ))
 
 
 def to_states(records: DataFrame) -> DataFrame:

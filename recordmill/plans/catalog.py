@@ -703,6 +703,7 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = item("tool", null("string"), F.concat(F.lit("total "), key), F.concat(F.lit("o"), key), null(state.CALLS))
     parts = F.when(F.col("o_orderstatus") == "F", F.array(ask, call, answer)).otherwise(F.array(ask, call))
     orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", parts.alias("m"))
+    store.sized(spark, 3 * orders.count())  # messages, at most
     lists = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "m"))).alias("l"))
     return lists.select(F.concat(F.lit("u"), "o_custkey").alias("thread_id"), F.flatten(F.transform("l", lambda x: x["m"])).cast(state.MESSAGES).alias("messages"), F.lit('{"active":true}').alias("meta"))
 

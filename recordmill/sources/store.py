@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 ROWS = 300_000  # records of a bucket or a shuffle's partition, about
+ADVISORY = "8m"  # shuffled bytes, that compression makes a tenth of what a task sorts
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -37,12 +38,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def sized(spark: SparkSession, rows: int, each: int = ROWS) -> int:
-    """Partitions for so many rows, so that a task's share doesn't grow with the input; shuffles of the session get no fewer from now on."""
+    """Partitions for so many rows, so that a task's share doesn't grow with the input; shuffles of the session get no fewer from now on, and put no more than ADVISORY bytes together unless the session has set its own size."""
     key, first = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     n = max(int(spark.conf.get(key)), -(-rows // each))
     for k in (key, first):
         if (have := spark.conf.get(k, None)) is not None and int(have) < n:
             spark.conf.set(k, str(n))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if rows > each and spark.conf.get(size, None) is None:
+        spark.conf.set(size, ADVISORY)
     return n
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+from recordmill.operators import state
+from recordmill.plans import catalog
 from recordmill.sources import derived, store
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +50,17 @@ def test_shuffles_get_no_fewer_partitions(own):
     assert store.sized(own, 10, 5) == 7 and store.sized(own, 101, 10) == 11
     assert own.conf.get("spark.sql.shuffle.partitions") == own.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "11"
     own.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+
+
+def test_state_records_come_from_one_pass(spark):
+    text = state.to_records(catalog.states(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Scan parquet") + text.count("FileScan") == 1 and "Union" not in text and "Window" not in text
+
+
+def test_states_of_all_kinds_of_messages(spark):
+    call = lambda i: (i, "f", None)
+    messages = [("human", "", "hi", None, None), None, ("ai", "a", "lost", None, [call("x"), None, call("")]), ("tool", None, None, "x", None), ("other", "o", "", None, None), ("ai", "b", None, None, []), ("system", None, "s", None, None)]
+    df = spark.createDataFrame([("t", messages, "{}"), ("u", None, None)], f"thread_id string, messages {state.MESSAGES}, meta string")
+    got = [(r.thread_id, r.pos, r.step, r.type, r.id) for r in state.to_records(df).orderBy("thread_id", "pos").collect()]
+    t = [("msg", 1, "msg-1"), ("tool", 3, "x"), ("tool", 3, "tc-3"), ("tool", 3, "tc-3"), ("res", 4, "x"), ("msg", 6, "b"), ("msg", 7, "sys-7"), ("mem", 8, "state-meta")]
+    assert got == [("t", i + 1, step, kind, name) for i, (kind, step, name) in enumerate(t)] + [("u", 1, 1, "mem", "state-meta")]
