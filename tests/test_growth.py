@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from recordmill.operators import state
+from recordmill.operators import codec, state
 from recordmill.plans import catalog
 from recordmill.sources import derived, store
 
@@ -64,3 +66,14 @@ def test_states_of_all_kinds_of_messages(spark):
     got = [(r.thread_id, r.pos, r.step, r.type, r.id) for r in state.to_records(df).orderBy("thread_id", "pos").collect()]
     t = [("msg", 1, "msg-1"), ("tool", 3, "x"), ("tool", 3, "tc-3"), ("tool", 3, "tc-3"), ("res", 4, "x"), ("msg", 6, "b"), ("msg", 7, "sys-7"), ("mem", 8, "state-meta")]
     assert got == [("t", i + 1, step, kind, name) for i, (kind, step, name) in enumerate(t)] + [("u", 1, 1, "mem", "state-meta")]
+
+
+def test_blocks_by_columns_are_those_of_records():
+    rng = random.Random(0)
+    kinds = [lambda: None, lambda: rng.choice(["x", "done", "t" * 9]), lambda: rng.randint(-5, 300), lambda: rng.choice([0.0, 1.5]), lambda: rng.random() < 0.5, lambda: rng.choice([1, True, 1.0, "1", None]), lambda: [1, "ab"]]
+    for _ in range(300):
+        n, names = rng.randint(1, 30), [f"c{i}" for i in range(rng.randint(1, 9))]
+        columns = [[make() for _ in range(n)] for make in rng.choices(kinds, k=len(names))]
+        data = codec.encode_columns(names, columns)
+        assert data == codec.encode([dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True)])
+        assert repr(codec.decode_columns(data, names)) == repr((n, columns))
