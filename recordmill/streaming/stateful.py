@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,15 @@ def backward_steps(stream: DataFrame) -> DataFrame:
     """(payload_id, thread_id, pos, step, previous) of rows whose step is below their thread's step before, across micro-batches."""
 
     def check(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("pos")
-        last = state.get[0] if state.exists else int(rows["step"].iloc[0])
-        previous = rows["step"].shift(1, fill_value=last)
-        bad = rows[rows["step"] < previous].assign(previous=previous[rows["step"] < previous])
-        state.update((int(rows["step"].iloc[-1]),))
-        yield pd.DataFrame({"payload_id": key[0], "thread_id": key[1], "pos": bad["pos"], "step": bad["step"], "previous": bad["previous"]})
+        # Plain arrays: there are very many threads of a few rows each.
+        pos, step = (np.concatenate(x) for x in zip(*((p["pos"].to_numpy(), p["step"].to_numpy()) for p in parts), strict=True))
+        order = np.argsort(pos, kind="stable")
+        pos, step = pos[order], step[order]
+        previous = np.append(state.get[0] if state.exists else step[0], step[:-1])
+        bad = np.flatnonzero(step < previous)
+        state.update((int(step[-1]),))
+        if len(bad):
+            yield pd.DataFrame({"payload_id": key[0], "thread_id": key[1], "pos": pos[bad], "step": step[bad], "previous": previous[bad]})
 
     return stream.select("payload_id", "thread_id", "pos", "step").groupBy("payload_id", "thread_id").applyInPandasWithState(
         check, "payload_id string, thread_id string, pos bigint, step bigint, previous bigint", "last bigint", "append", GroupStateTimeout.NoTimeout

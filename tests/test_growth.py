@@ -56,7 +56,7 @@ def test_shuffles_get_no_fewer_partitions(own):
 
 def test_state_records_come_from_one_pass(spark):
     text = state.to_records(catalog.states(spark, SF))._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Scan parquet") + text.count("FileScan") == 1 and "Union" not in text and "Window" not in text
+    assert text.count("Scan parquet") == 1 and "Union" not in text and "Window" not in text
 
 
 def test_states_of_all_kinds_of_messages(spark):
@@ -77,3 +77,10 @@ def test_blocks_by_columns_are_those_of_records():
         data = codec.encode_columns(names, columns)
         assert data == codec.encode([dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True)])
         assert repr(codec.decode_columns(data, names)) == repr((n, columns))
+
+
+def test_streams_have_as_many_batches_however_many_files(spark):
+    stream, folder = catalog._streamed(spark, spark.range(64).repartition(32))
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(p.numInputRows for p in query.recentProgress) == 64 and len([p for p in query.recentProgress if p.numInputRows]) == 4
