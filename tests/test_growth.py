@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from recordmill.functions import scalar
 from recordmill.operators import codec, state
 from recordmill.plans import catalog
 from recordmill.sources import derived, store
@@ -84,3 +85,10 @@ def test_streams_have_as_many_batches_however_many_files(spark):
     query = stream.writeStream.format("noop").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sum(p.numInputRows for p in query.recentProgress) == 64 and len([p for p in query.recentProgress if p.numInputRows]) == 4
+
+
+def test_varints_of_any_size(spark):
+    """Four bytes and more, where keys of larger tables are."""
+    some = [0, 127, 128, 16383, 16384, 2097151, 2097152, 8999999, 53999999, 2**31, 2**56 - 1, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in some], "n bigint").select("n", scalar.varint_bytes("n").alias("b"))
+    assert {r.n: r.b for r in df.collect()} == {n: codec.varint(n).hex().upper() for n in some}
