@@ -800,7 +800,9 @@ def _streamed(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
     """The rows of a table as a stream of files, with a folder for its checkpoints."""
     folder = store.folder(spark, "streams")
     df.write.parquet(f"{folder}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in"), f"{folder}/state"
+    # A quarter of the files a micro-batch, so that the number of batches, each of which goes over all partitions of the state, doesn't grow with the table.
+    files = max(4, -(-len(spark.read.schema(df.schema).parquet(f"{folder}/in").inputFiles()) // 4))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), f"{folder}/state"
 
 
 @query("SELECT event_type AS session_id, concat('u', user_id) AS id, 'all' AS thread_id, event_id % 3 AS step, 1::BIGINT AS n FROM events GROUP BY ALL")
